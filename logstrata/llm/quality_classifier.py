@@ -181,19 +181,21 @@ def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` and the score of each row's whole text."""
     names = [f"c{i}" for i in range(len(keep))]
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+    given = [docs[c].alias(n) for c, n in zip(keep, names)]
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at).to_pylist()
             if isinstance(model, float):
                 scores = [model] * len(texts)
             else:
                 scores = [float(model.score([encode(t).astype(np.float64)])[0]) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=[*names, "score"])
 
-    given = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names)], docs["text"].cast("string").alias("_text"))
-    out = given.mapInArrow(run, ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), "score double"]))
+    read = docs.select(*given) if at < len(keep) else docs.select(*given, docs["text"].cast("string").alias("_text"))
+    out = read.mapInArrow(run, ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), "score double"]))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "score")
 
 
