@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,8 +45,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    # shuffle files go once the driver's JVM has collected the plan they belong to; it would not do so for long by itself
-    spark.sparkContext._jvm.System.gc()
+    # Shuffle files go once the driver's JVM has collected the plan they belong to, which it would not do
+    # for long by itself. The first collection lets go of the query, the second of its shuffles.
+    for _ in range(2):
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
