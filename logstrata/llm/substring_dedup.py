@@ -96,10 +96,19 @@ class SuffixAutomaton:
         return out
 
 
-def minimizers(hashes: np.ndarray, window: int, gram: int, short: np.ndarray) -> np.ndarray:
+class MarkedHashes(WordHashes):
+    """Word hashes whose lowest bit says whether the word is short."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = super().__missing__(word) & ~1 | (len(word) < 4)
+        return h
+
+
+def minimizers(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
     """The minimizer of each window. N-grams with fewer short words come first, as they are rarer."""
     h = ngrams(hashes, gram)
-    few = short[: len(h)].astype(np.uint64)
+    short = hashes & np.uint64(1)
+    few = short[: len(h)].copy()
     for j in range(1, gram):
         few += short[j : j + len(h)]
     least = (h >> np.uint64(3)) | (np.minimum(few, np.uint64(7)) << np.uint64(61))
@@ -112,19 +121,18 @@ def minimizers(hashes: np.ndarray, window: int, gram: int, short: np.ndarray) ->
     return least.view(np.int64)
 
 
-def _windows(text: str | None, known: WordHashes, window: int, gram: int):
+def _windows(text: str | None, known: MarkedHashes, window: int, gram: int):
     words = split_words(text)
     if len(words) < window:
         return words, np.empty(0, np.int64)
-    short = np.fromiter((len(w) < 4 for w in words), bool, len(words))
-    return words, minimizers(known.of(words), window, gram, short)
+    return words, minimizers(known.of(words), window, gram)
 
 
 def _keys(window: int, gram: int):
     """Rows (doc, tag, text) to each row's distinct minimizers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = MarkedHashes()
         for batch in batches:
             found = [np.unique(_windows(t, known, window, gram)[1]) for t in batch.column(2).to_pylist()]
             sizes = [len(f) for f in found]
@@ -142,23 +150,25 @@ def _segments(window: int, gram: int):
     """Rows (doc, sum, text, minis, crowded) to the segments whose minimizer is among ``minis``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = MarkedHashes()
         for batch in batches:
             out: list[tuple] = []
             for doc, total, text, minis, crowded in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 words, least = _windows(text, known, window, gram)
-                wanted, alone = set(minis), set(crowded)
-                starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]]) if len(least) else []
-                for start, end, mini in zip(starts, [*starts[1:], len(least)], least[starts].tolist() if len(least) else []):
-                    if mini not in wanted:
-                        continue
+                if not len(least):
+                    continue
+                alone = set(crowded)
+                starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+                ends = np.r_[starts[1:], len(least)]
+                chosen = np.isin(least[starts], minis)
+                for start, end, mini in zip(starts[chosen].tolist(), ends[chosen].tolist(), least[starts[chosen]].tolist()):
                     if mini in alone:
-                        for k in range(int(start), int(end)):
+                        for k in range(start, end):
                             content = b" ".join(words[k : k + window])
                             out.append((xxhash.xxh3_64_intdigest(content) - 2**63, doc, total, k, 1, xxhash.xxh3_128_digest(content), content))
                     else:
                         content = b" ".join(words[start : end + window - 1])
-                        out.append((mini, doc, total, int(start), int(end - start), xxhash.xxh3_128_digest(content), content))
+                        out.append((mini, doc, total, start, end - start, xxhash.xxh3_128_digest(content), content))
                 if len(out) > 5_000:
                     yield _batch(out)
                     out = []
