@@ -12,6 +12,8 @@ length and rank.
 from __future__ import annotations
 
 import bisect
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,11 +21,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import written
+from .token_counts import byte_symbols
 
 CAPACITY = 4096
 #: Words whose ids a worker keeps; then it starts anew.
@@ -32,30 +36,60 @@ KNOWN = 300_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """A function from a text to its ids as little-endian unsigned 32-bit bytes; made once in each worker.
+#: The published pre-token pattern of this vocabulary.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
-    This tokenizer drops white space and no pre-token of it spans any, so the
-    ids of a text are those of its parts between ASCII white space, one after the other.
+class WordIds(dict):
+    """A word (bytes without ASCII white space) to its ids as little-endian unsigned 32-bit bytes, remembered.
+
+    Words of Latin letters are lowered and cut into pre-tokens here and only
+    the merges are left to the library, each distinct pre-token once. Any other word (other
+    scripts, control characters, what might be a special string) goes to it as it is.
     """
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    known: dict[bytes, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        words = text.encode().split()
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > KNOWN:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            for w, e in zip(missing, tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
-
-    return encode
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
+        self.cut = regex.compile(PRE_TOKEN).findall
+        self.latin = regex.compile(r"[!-~¡-\u024f]+").fullmatch
+        self.symbols = {b: c for b, c in byte_symbols().items()}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) >= KNOWN:
+            self.parts.clear()
+        symbols = part if part.isascii() else "".join(map(self.symbols.__getitem__, part.encode()))
+        out = self.parts[part] = struct.pack(f"<{len(t := self.merge(symbols))}I", *[x.id for x in t])
+        return out
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KNOWN:
+            self.clear()
+        text = word.decode()
+        if self.latin(text) and "<|" not in text:
+            lower = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+            parts = self.parts
+            out = b"".join([parts[p] if p in parts else self._part(p) for p in self.cut(lower)])
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) < 64:
+            self[word] = out
+        return out
+
+    def encode(self, text: str) -> bytes:
+        """This tokenizer drops white space and no pre-token of it spans any, so the ids of a
+        text are those of its parts between ASCII white space, one after the other."""
+        return b"".join(map(self.__getitem__, text.encode().split()))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str):
+    """A function from a text to its ids as bytes; made once in each worker."""
+    return WordIds(path).encode
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
