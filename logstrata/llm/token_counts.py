@@ -69,6 +69,8 @@ def counter(path: str) -> Callable[[str], int]:
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     pre_tokens = regex.compile(PRE_TOKEN).findall
     plain = regex.compile(r"[\x00-ɏ‐-‧]*+").fullmatch
+    # the merges alone, on a pre-token written in the vocabulary's symbols
+    symbols, tokenize = {b: c for b, c in byte_symbols().items()}, tokenizer.model.tokenize
     merged: dict[str, int] = {}
     known: dict[str, int] = {}
 
@@ -77,7 +79,7 @@ def counter(path: str) -> Callable[[str], int]:
         if n is None:
             if len(merged) >= KNOWN:
                 merged.clear()
-            n = merged[pre_token] = len(tokenizer.encode(pre_token, add_special_tokens=False).ids)
+            n = merged[pre_token] = len(tokenize(pre_token.encode().decode("latin-1").translate(symbols)))
         return n
 
     def piece(text: str) -> int:
