@@ -44,7 +44,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     # Shuffle files go once the driver's JVM has collected the plan they belong to, which it would not do
     # for long by itself. The first collection lets go of the query, the second of its shuffles.
     for _ in range(2):
