@@ -44,19 +44,19 @@ def resolve_times(logs: DataFrame, anchors: DataFrame) -> DataFrame:
     the preamble base is 0, else the first record, which may lie after the tick.
     Without any, the time is 0 and there is no anchor.
     """
+    tied = F.struct("anchor_id", "kernel_time", "wall_ns", "numerator", "denominator")
     records = anchors.filter(~F.col("is_boot"))
-    spans = anchor_intervals(records).select(F.col("boot_uuid").alias("b"), "low", "high", "anchor_id", "kernel_time", "wall_ns", "numerator", "denominator")
     few = F.broadcast if anchors.count() <= BROADCAST_ROWS else (lambda x: x)
-    hit = logs.join(few(spans), (F.col("boot_uuid") == F.col("b")) & (F.col("timestamp_mach") >= F.col("low")) & (F.col("high").isNull() | (F.col("timestamp_mach") < F.col("high"))), "left").drop("b", "low", "high")
-    first = records.groupBy(F.col("boot_uuid").alias("b2")).agg(F.min_by(F.struct("anchor_id", "kernel_time", "wall_ns", "numerator", "denominator"), "record").alias("first"))
-    boot = anchors.filter("is_boot").select(F.col("boot_uuid").alias("b3"), F.struct("anchor_id", F.lit(0).cast("long").alias("kernel_time"), "wall_ns", "numerator", "denominator").alias("boot"))
-    joined = hit.join(few(first), F.col("boot_uuid") == F.col("b2"), "left").join(few(boot), F.col("boot_uuid") == F.col("b3"), "left")
-    own = F.when(F.col("anchor_id").isNotNull(), F.struct("anchor_id", "kernel_time", "wall_ns", "numerator", "denominator"))
-    a = F.coalesce(own, F.when(F.col("preamble_base") == 0, F.coalesce("boot", "first")).otherwise(F.col("first")))
-    joined = joined.withColumn("_a", a)
-    ns = F.col("_a.wall_ns") + ticks_to_ns(F.col("timestamp_mach") - F.col("_a.kernel_time"), F.col("_a.numerator"), F.col("_a.denominator"))
-    out = joined.withColumn("timestamp_unix_ns", F.coalesce(ns, F.lit(0)).cast("long")).withColumn("timesync_anchor_id", F.col("_a.anchor_id"))
-    return out.select(*[c for c in logs.columns if c not in ("timestamp_unix_ns", "timesync_anchor_id")], "timestamp_unix_ns", "timesync_anchor_id")
+    spans = anchor_intervals(records).select(F.col("boot_uuid").alias("_b1"), F.col("low").alias("_low"), F.col("high").alias("_high"), tied.alias("_own"))
+    first = records.groupBy(F.col("boot_uuid").alias("_b2")).agg(F.min_by(tied, "record").alias("_first"))
+    boot = anchors.filter("is_boot").groupBy(F.col("boot_uuid").alias("_b3")).agg(F.min_by(F.struct("anchor_id", F.lit(0).cast("long").alias("kernel_time"), "wall_ns", "numerator", "denominator"), "record").alias("_boot"))
+    tick, own_boot = F.col("timestamp_mach"), F.col("boot_uuid")
+    joined = logs.join(few(spans), (own_boot == F.col("_b1")) & (tick >= F.col("_low")) & (F.col("_high").isNull() | (tick < F.col("_high"))), "left")
+    joined = joined.join(few(first), own_boot == F.col("_b2"), "left").join(few(boot), own_boot == F.col("_b3"), "left")
+    joined = joined.withColumn("_a", F.coalesce("_own", F.when(F.col("preamble_base") == 0, F.coalesce("_boot", "_first")).otherwise(F.col("_first"))))
+    ns = F.col("_a.wall_ns") + ticks_to_ns(tick - F.col("_a.kernel_time"), F.col("_a.numerator"), F.col("_a.denominator"))
+    rest = [c for c in logs.columns if c not in ("timestamp_unix_ns", "timesync_anchor_id")]
+    return joined.select(*[logs[c] for c in rest], F.coalesce(ns, F.lit(0)).cast("long").alias("timestamp_unix_ns"), F.col("_a.anchor_id").alias("timesync_anchor_id"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, value: list[str]) -> DataFrame:

@@ -111,11 +111,23 @@ def is_log_data(path) -> object:
 
 
 def file_table(spark, root: str) -> DataFrame:
-    """(rel_path, size, sha256, content) of all files below a folder, hashed where they are read."""
+    """(rel_path, size, sha256, content) of all files below a folder, hashed where they are read.
+
+    Spark's file sources pass over empty files, so those are listed by the driver.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    found, empty = fs.listFiles(top, True), []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            empty.append((f.getPath().toUri().getPath()[len(base) :], 0, bytearray()))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^[a-z]+:/+", "")
-    return files.select(F.substr(path, F.lit(len(base) + 2)).alias("rel_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    full = files.select(F.substring_index(path, base, -1).alias("rel_path"), F.col("length").alias("size"), "content")
+    both = full.unionByName(spark.createDataFrame(empty, "rel_path string, size long, content binary"))
+    return both.select("rel_path", "size", F.sha2("content", 256).alias("sha256"), "content")
 
 
 def custody(stored: DataFrame, fresh: DataFrame) -> DataFrame:
