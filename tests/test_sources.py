@@ -83,7 +83,7 @@ def log_file(words=("big", "one"), base=1000):
         entry(4, 0x2 | 0x800, 0x10, struct.pack("<I", 1) + struct.pack("<I", 77) + packed_items()),
         entry(7, 0, 0, struct.pack("<QQQ", 1, 2, 3)),
         entry(2, 0x2 | 0x1, 0x10, struct.pack("<II", 11, 0) + struct.pack("<II", 22, 0) + struct.pack("<I", 1) + packed_items("act", 1)),
-        entry(3, 0, 0, struct.pack("<I", 1) + b"\x00\x07" + bytes([2]) + bytes([1])),
+        entry(3, 0, 0, struct.pack("<I", 1) + b"\x07\x00" + bytes([2]) + bytes([1])),
         base=base,
     )
     dump = struct.pack("<QIIQQ16sII", 7, 9, 0, base + 5, 4, bytes.fromhex(LIB), 1, 0)
