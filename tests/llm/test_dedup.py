@@ -1,7 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
-from conftest import corpus, make
+from samples import corpus, make
 
 from logstrata.llm import exact_dedup, near_dedup, substring_dedup
 from logstrata.llm.common import table  # noqa: F401

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import corpus
+from samples import corpus
 
 from logstrata.llm import html_extract as h
 

@@ -3,7 +3,7 @@ import random
 import re
 
 import numpy as np
-from conftest import corpus, make
+from samples import corpus, make
 
 from logstrata.llm import pii, quality_classifier, quality_rules
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
-from conftest import corpus, make
+from samples import corpus, make
 from tokenizers import Tokenizer
 
 from logstrata.llm import mixing, packing, token_counts

@@ -1,6 +1,6 @@
 from collections import Counter
 
-from conftest import corpus, make
+from samples import corpus, make
 from test_dedup import brute_exact, brute_near
 from test_packing_tokens_mixing import check_packing
 
