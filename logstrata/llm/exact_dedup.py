@@ -89,7 +89,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         texts.select("rid", "doc_id", "bytes", F.sha2(F.col("body"), 256).alias("text_sha256")).join(block_identities(texts.select("rid", "body"), block_bytes), "rid"), "exact-ids"
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid"))
-    groups = ids.groupBy("bytes", "level", "name").agg(F.count("*").alias("group_size"), first.alias("first"))
+    groups = small(written(ids.groupBy("bytes", "level", "name").agg(F.count("*").alias("group_size"), first.alias("first")), "exact-groups"))
     met = ids.join(groups, ["bytes", "level", "name"]).select(
         ids["doc_id"], F.col("first.doc_id").alias("keep_id"), "group_size", (ids["rid"] == F.col("first.rid")).alias("kept"), "text_sha256"
     )
