@@ -128,7 +128,7 @@ def test_archive_end_to_end(spark, archive):
     rows = [r.asDict() for r in out["logs"].orderBy("id").collect()]
     assert len(rows) == 22 and [r["id"] for r in rows] == sorted(r["id"] for r in rows)
     one = rows[:9] + [r for r in rows[9:11]]
-    assert [r["message"] for r in one] == ["hello world 3", "shared s", "from lib", "from lib", "dynamic dynamic %s", "hello last wins", "<loss: 3 messages dropped [1–2]>", "hello act 1", "7", 'title: {"k": 1, "b": "eA=="}', "hi"]
+    assert [r["message"] for r in one] == ["hello world 3", "shared s", "from lib", "from lib", "dynamic dynamic %s", "hello last wins", "<loss: 3 messages dropped [1–2]>", "hello act 1", "7", 'title: {"b": "eA==", "k": 1}', "hi"]
     first = one[0]
     assert (first["process"], first["pid"], first["euid"], first["log_level"], first["subsystem"], first["category"], first["boot_uuid"]) == ("tool", 42, 501, "Error", "com.sub", "cat", BOOT)
     assert first["tid"] == 5 - 2**63 and first["timestamp_mach"] == 1010 and first["timestamp_unix_ns"] == 10**18 + 5000 + (1010 - 900) * 125 // 3
