@@ -117,10 +117,11 @@ def taken_documents(docs: DataFrame, **params) -> DataFrame:
     rows equal in all three are taken alike.
     """
     picked = mix(docs, **params).filter("taken > 0")
-    picked = picked.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.struct("passes", "run_start", "run_words"))).alias("picks"))
-    key = docs.select("*", n_words(F.col("text")).alias("_size"))
-    same = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    key = key.withColumn("_nth", F.row_number().over(same))
+    picked = written(picked.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.struct("passes", "run_start", "run_words"))).alias("picks")), "mix-picked")
+    key, nth = docs.select("*", n_words(F.col("text")).alias("_size")), F.lit(1)
+    if not picked.filter(F.size("picks") > 1).isEmpty():  # only repeated rows have to be told apart, which moves the texts once more
+        nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
+    key, picked = key.withColumn("_nth", nth), small(picked)
     on = key["doc_id"].eqNullSafe(picked["doc_id"]) & key["source"].eqNullSafe(picked["source"]) & (key["_size"] == picked["size"])
     joined = key.join(picked, on).select(*[key[c] for c in key.columns], F.col("picks")[F.col("_nth") - 1].alias("_p"))
     whole = joined.select("*", F.explode(F.sequence(F.lit(0), F.col("_p.passes"))).alias("_i"))
