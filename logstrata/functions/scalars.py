@@ -134,7 +134,10 @@ def event_name(code: Column) -> Column:
 
 
 #: Build numbers of public releases.
-IOS_BUILDS = {"20A362": "16.0", "20B82": "16.1", "20C65": "16.2", "20D47": "16.3", "20E247": "16.4", "20F66": "16.5", "21A329": "17.0", "21B74": "17.1", "21C62": "17.2", "21D50": "17.3", "21E219": "17.4", "21F79": "17.5"}
+IOS_BUILDS = {
+    "21A329": "17.0", "21A340": "17.0.1", "21A351": "17.0.2", "21A360": "17.0.3", "21B74": "17.1", "21B91": "17.1.1", "21B101": "17.1.2", "21C62": "17.2", "21C66": "17.2.1", "21D50": "17.3", "21D61": "17.3.1", "21E219": "17.4", "21E236": "17.4.1",
+    "21F79": "17.5", "21F90": "17.5.1",
+}
 
 
 def ios_version(build: Column) -> Column:
