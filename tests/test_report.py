@@ -9,8 +9,8 @@ def test_text():
     assert "75.00 %" in text and "100.00" in text
     text, ok = report.files([("a", "identical"), ("b", "append"), ("c", "only_b")])
     assert ok and "only_b" in text and not report.files([("a", "diverged")])[1]
-    s = Signature("i", "act", "d", Match(format_str="x", process="p"), tags=("t", "u"), extract_fields=(("lab", "x"),), source_file="f.yaml")
+    s = Signature("sig-77", "acts", "d", Match(format_str="x", process="p"), tags=("t", "u"), extract_fields=(("lab", "x"),), source_file="f.yaml")
     kb = KnowledgeBase("1", (s,), {"label": ""})
-    assert "act" in report.signatures(kb, tag="t") and "act" not in report.signatures(kb, process="q") and '"id": "i"' in report.signatures(kb, as_json=True)
+    assert "sig-77" in report.signatures(kb, tag="t") and "sig-77" not in report.signatures(kb, process="q") and '"id": "sig-77"' in report.signatures(kb, as_json=True)
     assert "did you mean 'label'" in report.kb_stats(kb) or "not in the vocabulary" in report.kb_stats(kb)
-    assert 'id: "i"' in report.signature(s)
+    assert 'id: "sig-77"' in report.signature(s)
