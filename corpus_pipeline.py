@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logstrata.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier
-from logstrata.llm.common import small, table, written
+from logstrata.llm.common import one_spaced, small, table, written
 from logstrata.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,20 +19,41 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("score") >= quality_classifier.THRESHOLD).select(*COLUMNS)
 
 
-def _kept(docs: DataFrame, keep: DataFrame, label: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``keep``; rows that share a doc_id stay or go together."""
-    keep = small(written(keep, label))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*COLUMNS)
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _kept(docs: DataFrame, digest: Column, keep: DataFrame, label: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and ``digest`` are in ``keep`` (doc_id, digest, shared), one for each row of ``keep``.
+
+    Where ``shared`` says that rows may have both in common, the least of them in
+    the order of COLUMNS stands for all. No other rows are grouped.
+    """
+    keep = written(keep, label)
+    shared, alone = keep.filter("shared"), keep.filter("not shared")
+
+    def matched(keys: DataFrame) -> DataFrame:
+        keys = small(keys.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")))
+        rows = docs.select(*COLUMNS, digest.alias("digest"))
+        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["kept_id"]) & (rows["digest"] == keys["kept_digest"]), "left_semi")
+
+    out = matched(alone).select(*COLUMNS)
+    if shared.isEmpty():
+        return out
+    least = matched(shared).groupBy("doc_id", "digest").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return out.unionByName(least.select("row.*"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the least doc_id."""
-    return _kept(docs, exact_dedup.exact_dedup(docs).filter("kept").select("doc_id"), "exact-kept")
+    """Of equal texts one row, with the least doc_id."""
+    first = exact_dedup.exact_dedup(docs).filter("doc_id <=> keep_id").groupBy("doc_id", F.unhex("text_sha256").alias("digest"))
+    return _kept(docs, _digest(one_spaced(F.col("text"))), first.agg((F.count("*") > 1).alias("shared")), "exact-kept")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least doc_id."""
-    return _kept(docs, near_dedup.near_dedup(docs).filter("doc_id <=> class_id").select("doc_id"), "near-kept")
+    """Of each class of near duplicates one row, with the least doc_id."""
+    digest = _digest(F.coalesce("text", F.lit("")))
+    return _kept(docs, digest, near_dedup.near_kept(docs, digest), "near-kept")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, written
@@ -34,7 +34,7 @@ N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 256
 BLOCK_TEXTS, BLOCK_GRAMS = 1_024, 1_000_000
 SEED = 11
 
-_SIGNED = "doc_id long, key binary, grams long, bands array<long>"
+_SIGNED = "doc_id long, key binary, grams long, bands array<long>, digest binary"
 
 
 def choose_bands(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -72,8 +72,8 @@ class Signer:
         return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key (of the word sequence), grams (set size), bands (none for a text without words)."""
+def sign(docs: DataFrame, n: int, bands: int, rows: int, digest: Column | None = None) -> DataFrame:
+    """doc_id, key (of the word sequence), grams (set size), bands (none for a text without words), digest as given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, signer = WordHashes(), Signer(bands, rows)
@@ -87,9 +87,10 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 found.append(signer.bands(grams) if words else np.empty(0, np.int64))
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), arrays], names=["doc_id", "key", "grams", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), arrays, batch.column(2)], names=["doc_id", "key", "grams", "bands", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SIGNED)
+    digest = F.lit(None).cast("binary") if digest is None else digest
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest")).mapInArrow(run, _SIGNED)
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -157,22 +158,10 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def near_dedup(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block_texts: int = BLOCK_TEXTS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """Each row of ``docs`` with its class.
-
-    Returns doc_id, class_id (least doc_id among all documents that links join,
-    copies included), copy_of (least doc_id with the same words in the same
-    order), n_links (how many other texts have an n-gram Jaccard similarity of
-    ``threshold`` or more with this one; copies of one text count as one).
-
-    Words are what stands between ASCII white space. A text of fewer than ``n``
-    words is one n-gram of all it has. Texts without a word, null included, have
-    no links but are copies of each other. A null doc_id is greater than any
-    other. Rows that repeat a doc_id are judged by their texts alone. An empty
-    table gives no rows. Only ``doc_id`` and ``text`` are read.
-    """
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float, block_texts: int, block_grams: int, digest: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The signed rows of ``docs``, and of each text its key, label (of its class), class_id, copy_of and n_links."""
     bands, rows = choose_bands(threshold, recall)
-    signed = written(sign(docs, n, bands, rows), "signed")
+    signed = written(sign(docs, n, bands, rows, digest), "signed")
     texts = signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("grams").alias("grams"), F.first("bands").alias("bands"))
     texts = written(texts.withColumn("rid", F.monotonically_increasing_id()), "texts")
 
@@ -201,8 +190,40 @@ def near_dedup(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
 
     labelled = texts.select("rid", "key", "first").join(counts, "rid", "left").join(classes, F.col("rid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rid"))
     least = labelled.groupBy("label").agg(F.min("first").alias("class_id"))
-    labelled = written(labelled.join(least, "label").select("key", "class_id", F.col("first").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "labelled")
-    return signed.select("doc_id", "key").join(labelled, "key").select("doc_id", "class_id", "copy_of", "n_links")
+    labelled = written(labelled.join(least, "label").select("key", "label", "class_id", F.col("first").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "labelled")
+    return signed, labelled
+
+
+def near_dedup(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block_texts: int = BLOCK_TEXTS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """Each row of ``docs`` with its class.
+
+    Returns doc_id, class_id (least doc_id among all documents that links join,
+    copies included), copy_of (least doc_id with the same words in the same
+    order), n_links (how many other texts have an n-gram Jaccard similarity of
+    ``threshold`` or more with this one; copies of one text count as one).
+
+    Words are what stands between ASCII white space. A text of fewer than ``n``
+    words is one n-gram of all it has. Texts without a word, null included, have
+    no links but are copies of each other. A null doc_id is greater than any
+    other. Rows that repeat a doc_id are judged by their texts alone. An empty
+    table gives no rows. Only ``doc_id`` and ``text`` are read.
+    """
+    signed, labelled = _classes(docs, n, threshold, recall, block_texts, block_grams)
+    return signed.select("doc_id", "key").join(labelled.drop("label"), "key").select("doc_id", "class_id", "copy_of", "n_links")
+
+
+def near_kept(docs: DataFrame, digest: Column, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """A row for each class of ``docs``: doc_id and ``digest`` of the row to keep, and whether others may share both.
+
+    It is a row with the least doc_id of the class, null last; of several texts with
+    that doc_id the one with the least key and digest. ``digest`` is binary, and rows with
+    equal digests have equal words.
+    """
+    signed, labelled = _classes(docs, n, threshold, recall, BLOCK_TEXTS, BLOCK_GRAMS, digest)
+    first = F.min(F.struct(F.col("copy_of").isNull().alias("no"), "copy_of", "key")).alias("first")
+    best = small(written(labelled.groupBy("label").agg(first).select("label", "first.key", F.col("first.copy_of").alias("least")), "near-first"))
+    found = signed.select("doc_id", "key", "digest").join(best, "key").filter("doc_id <=> least")
+    return found.groupBy("label").agg(F.first("doc_id").alias("doc_id"), F.min("digest").alias("digest"), (F.count("*") > 1).alias("shared")).drop("label")
 
 
 def _same_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,3 +50,23 @@ def test_stages_against_brute_force(spark, tmp_path):
     for k in range(4):
         assert spark.read.parquet(f"{sf_dir}/stage{k}").columns == list(corpus_pipeline.COLUMNS)
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
+
+
+def test_one_row_of_each_group_where_doc_ids_repeat(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c, d = (" ".join(f"{x}{w}" for w in words) for x in "abcd")
+    near_b = b.replace("bw7 ", "changed ")
+    lone = [None, "null one", None, "s", 8]
+    exact_rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (2, b, "en", "s", 2), (4, b, "en", "s", 3), (4, c, "en", "s", 4), (4, c.replace(" ", "  "), "de", "s", 5), (None, a, None, "s", 6), (None, d, None, "s", 7), (None, d, None, "s", 7), lone, (5, None, "en", "s", 0), (5, "", "en", "s", 0)]
+    make_docs = lambda rows: spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    keyed = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, " ".join((r.text or "").split())) for r in rows)
+    want = [(False, 1, a), (False, 2, b), (False, 4, c), (False, 5, ""), (True, 0, d), (True, 0, "null one")]
+    assert keyed(corpus_pipeline.exact(spark, make_docs(exact_rows), "").collect()) == want
+
+    # the same with near copies; 6 has two texts of one class, 7 two classes of its own, and one class has null ids only
+    e, f, g, h = (" ".join(f"{x}{w}" for w in words) for x in "efgh")
+    near_rows = [*exact_rows, (4, near_b, "en", "s", 3), (6, e, "en", "s", 1), (6, e.replace("ew7 ", "changed "), "en", "s", 1), (7, f, "en", "s", 1), (7, g, "en", "s", 1), (9, f.replace("fw7 ", "changed "), "en", "s", 1), (None, h, "en", "s", 1), (None, h.replace("hw7 ", "changed "), "en", "s", 1)]
+    got = keyed(corpus_pipeline.near(spark, make_docs(near_rows), "").collect())
+    assert [x[:2] for x in got] == [(False, 1), (False, 2), (False, 4), (False, 5), (False, 6), (False, 7), (False, 7)] + [(True, 0)] * 3
+    assert {x[2][0] for x in got if x[1] == 7} == {"f", "g"} and {x[2][0] for x in got if x[0]} == {"d", "h", "n"}
+    assert (False, 2, b) in got and (False, 4, c) in got
