@@ -130,7 +130,7 @@ FEATURES = 2 * PATH_DIMS + WORD_DIMS + 10
 
 
 def vectors(page: list[Block]) -> np.ndarray:
-    """A row for each block."""
+    """A row for each block, of all its words and characters."""
     out = np.zeros((len(page), FEATURES), np.float32)
     total = sum(len(b.text) for b in page) or 1
     seen = 0
@@ -143,12 +143,11 @@ def vectors(page: list[Block]) -> np.ndarray:
                 k, s = _slot("n:" + name, PATH_DIMS)
                 x[PATH_DIMS + k] += s
         words = b.text.split()
-        for w in words[:60]:
+        for w in words:
             k, s = _slot("w:" + w.lower(), WORD_DIMS)
-            x[2 * PATH_DIMS + k] += s / min(60, len(words))
-        sample = b.text[:2000]
+            x[2 * PATH_DIMS + k] += s / len(words)
         x[-10:] = (
-            np.log1p(n) / 5, b.linked / n, sum(c in ".,;!?" for c in sample) / len(sample) * 10, sum(c.isdigit() for c in sample) / len(sample), sum(c.isupper() for c in sample) / len(sample),
+            np.log1p(n) / 5, b.linked / n, sum(c in ".,;!?" for c in b.text) / n * 10, sum(c.isdigit() for c in b.text) / n, sum(c.isupper() for c in b.text) / n,
             b.text[-1] in ".!?…\"”»", i / len(page), seen / total, min(1.0, np.log1p(len(page)) / 5), n / total,
         )
         seen += n

@@ -34,6 +34,17 @@ def test_blocks_read_broken_markup():
     assert h.blocks(None) == h.blocks("") == h.blocks("<p> </p>") == []
 
 
+def test_vectors_read_whole_blocks():
+    start = "word " * 500
+    vector = lambda end: h.vectors(h.blocks(f"<p>{start}{end}</p>"))[0]
+    rng = random.Random(3)
+    a, b = ("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(2))
+    words = slice(2 * h.PATH_DIMS, 2 * h.PATH_DIMS + h.WORD_DIMS)
+    assert not np.array_equal(vector(f"{a} " * 400)[words], vector(f"{b} " * 400)[words])
+    plain, other = vector("word " * 500), vector("1,A2 " * 500)
+    assert list(plain[-8:-5]) == [0, 0, 0] and np.allclose(other[-8:-5], [5000 / 4999, 1000 / 4999, 500 / 4999])
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
     pages, labels = [rng.normal(size=(n, h.FEATURES)) for n in (3, 5)], [np.array([1.0, 0, 1]), np.array([0, 1.0, 1, 0, 0])]
