@@ -235,11 +235,16 @@ class BlockLabeller:
         self._back(x, mask, "b", kb, dboth[:, :, self.hidden :], g)
         return loss, g
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 24, rate: float = 8e-3, seed: int = 1) -> BlockLabeller:
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 24, rate: float = 8e-3, seed: int = 1, padded: int = 9_600) -> BlockLabeller:
+        """Trains on all of ``pages``, each whole. A batch has at most ``batch`` pages and, unless it is one page, ``padded`` blocks with its padding."""
         rng = np.random.default_rng(seed)
         m, s, t = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         order = sorted(range(len(pages)), key=lambda i: len(pages[i]))  # pages of like length share a batch
-        batches = [order[i : i + batch] for i in range(0, len(order), batch)]
+        batches: list[list[int]] = []
+        for i in order:
+            if not batches or len(batches[-1]) == batch or (len(batches[-1]) + 1) * len(pages[i]) > padded:
+                batches.append([])
+            batches[-1].append(i)
         steps = epochs * len(batches)
         for _ in range(epochs):
             for k in rng.permutation(len(batches)):
@@ -430,7 +435,7 @@ def train(pages: DataFrame, most: int = MOST_PAGES, composed: int = COMPOSED, se
         page = blocks(text)
         x.append(vectors(page))
         y.append(labels_of(page, main))
-    x, y = zip(*[(a, b) for a, b in zip(x, y) if 0 < len(a) <= 400])
+    x, y = zip(*[(a, b) for a, b in zip(x, y) if len(a)])
     return BlockLabeller().fit(list(x), list(y))
 
 

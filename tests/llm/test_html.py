@@ -45,6 +45,18 @@ def test_vectors_read_whole_blocks():
     assert list(plain[-8:-5]) == [0, 0, 0] and np.allclose(other[-8:-5], [5000 / 4999, 1000 / 4999, 500 / 4999])
 
 
+def test_long_pages_train_whole(spark, monkeypatch):
+    long = "<article>" + "".join(f"<p>block {i}</p>" for i in range(1500)) + "</article>"
+    seen = []
+    monkeypatch.setattr(h.BlockLabeller, "loss_and_gradients", lambda self, pages, labels: (seen.append(list(map(len, pages))), (0.0, {k: np.zeros_like(v) for k, v in self.p.items()}))[1])
+    h.train(spark.createDataFrame([(i, None, long, None, None) for i in range(8)], SCHEMA), composed=60)
+    assert sum(batch.count(1500) for batch in seen) == 8 * 8 and sum(map(len, seen)) == 8 * 68  # pages in each of 8 epochs
+    assert all(len(batch) * max(batch) <= 9_600 for batch in seen)
+    few, one = h.BlockLabeller(), [np.zeros((n, h.FEATURES)) for n in (3, 12_000)]
+    few.fit(one, [np.zeros(len(p)) for p in one], epochs=1)
+    assert sorted(seen[-2:]) == [[3], [12_000]]
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
     pages, labels = [rng.normal(size=(n, h.FEATURES)) for n in (3, 5)], [np.array([1.0, 0, 1]), np.array([0, 1.0, 1, 0, 0])]
