@@ -449,6 +449,12 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("lang = 'en' and text is not null").select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n"))
 
 
+# every document, where set_tokens and its SQL have English ones only; SQL without folding can't state it, tests hold it against brute force
+@query("set_tokens_all")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
+
+
 @query("op13_export_pivot", _WITH_KB + " SELECT l.id, string_agg(DISTINCT l.process, '; ') FILTER (ann.kb_id = 1) AS clicked_by, string_agg(DISTINCT l.category, '; ') FILTER (ann.kb_id = 3) AS bought FROM logs l LEFT JOIN ann ON ann.log_id = l.id GROUP BY l.id")
 def _(spark, sf_dir):
     rows = logs(spark, sf_dir)

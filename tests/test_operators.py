@@ -236,3 +236,20 @@ def test_case_store(spark, small, tmp_path):
         CaseStore.create(spark, str(tmp_path / "case"))
     with pytest.raises(FileNotFoundError):
         CaseStore.open(spark, str(tmp_path / "none"))
+
+
+def test_tokens_of_all_documents(spark, tmp_path):
+    import unicodedata
+
+    from logstrata.plans import queries
+
+    texts = ["Plain text, twice: text", None, "", "!!", "Déjà vu à Âge Noël", "Déjà vu", "Straße über Größe", "el niño comió piñas", "日本語 テキスト", "x_y-z 3.14 ²", "á̂b", " x"]
+    rows = [(i, t, [None, "en", "fr", "de", "es"][i % 5]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        plain = "".join(c for c in unicodedata.normalize("NFD", (text or "").lower()) if unicodedata.category(c) != "Mn")
+        return len("".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in plain).split())
+
+    got = {r.doc_id: r.n for r in queries.QUERIES["set_tokens_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t, _ in rows} and got[1] == 0 and got[5] == 2
