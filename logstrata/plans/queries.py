@@ -189,6 +189,27 @@ def _(spark, sf_dir):
     )
 
 
+# the same with hidden keys that grow with the table, all rows of one category, where the two above have the first 500 ids
+_GROWING = {name: ORACLE_SQL[name].replace("h.id <= 500", "h.category = 'error'") for name in ("jn04_hidden_anti", "ag13_identify_counts")}
+
+
+def _identified(spark, sf_dir) -> diff.IdentifyResults:
+    hidden = logs(spark, sf_dir).filter("category = 'error'").select("message", F.coalesce("process", F.lit("")).alias("process_key")).distinct()
+    return diff.IdentifyResults(_marked(spark, sf_dir), hidden)
+
+
+@query("jn04_hidden_anti_growing", _GROWING["jn04_hidden_anti"])
+def _(spark, sf_dir):
+    return _identified(spark, sf_dir).rows().select("id", "message")
+
+
+@query("ag13_identify_counts_growing", _GROWING["ag13_identify_counts"])
+def _(spark, sf_dir):
+    return _identified(spark, sf_dir).flagged().agg(
+        F.count_if((F.col("excluded") == 0) & ~F.col("is_known") & ~F.col("is_hidden")).alias("retained"), F.count_if(F.col("excluded") == 1).alias("noise"), F.count_if("is_known").alias("kb_known"), F.count_if("is_hidden").alias("hidden")
+    )
+
+
 @query("jn07_asof", """SELECT p.event_id, p.user_id, s.event_id AS right_event_id, epoch_us(s.ts) AS at_us FROM (SELECT * FROM events WHERE event_type = 'purchase') p
     ASOF LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS r FROM events WHERE event_type = 'signup') WHERE r = 1) s ON p.user_id = s.user_id AND p.ts >= s.ts""")
 def _(spark, sf_dir):

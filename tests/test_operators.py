@@ -253,3 +253,20 @@ def test_tokens_of_all_documents(spark, tmp_path):
 
     got = {r.doc_id: r.n for r in queries.QUERIES["set_tokens_all"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t, _ in rows} and got[1] == 0 and got[5] == 2
+
+
+def test_hidden_side_grows_with_the_table(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from logstrata.plans import queries
+
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=i), i % 11, ["view", "error", "click"][i % 3], f"p{i}", float(i)) for i in range(1, 3001)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, props string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.id for r in queries.QUERIES["jn04_hidden_anti_growing"](spark, str(tmp_path)).collect()}
+    cut = max(i for i in range(1, 1500) if i % 2 == 0 and i % 50)
+    shown = [i for i in range(1, 3001) if i > cut or i % 50 == 0]
+    # every message is its own row's, so the baseline excludes no later row, and the hidden keys hide just the errors
+    noise = [i for i in shown if i % 50 and i < 1500 and i % 2 == 0]
+    assert not noise and got == {i for i in shown if i % 3 != 1}
+    counts = queries.QUERIES["ag13_identify_counts_growing"](spark, str(tmp_path)).first()
+    assert (counts.retained, counts.hidden) == (len(got), len(shown) - len(got)) and max(i for i in shown if i % 3 == 1) > 500
