@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import UNKNOWN_BOOT_RANK
+from ..scratch import written
 
 _OFFSETS = ("tracev3_chunkset_file_offset", "tracev3_firehose_inner_offset", "tracev3_entry_inner_offset", "id")
 
@@ -16,38 +17,34 @@ def source_order(logs: DataFrame, file: str = "tracev3_file_id", by: tuple[str,
     return logs.withColumn(name, F.row_number().over(w).cast("long"))
 
 
-def global_numbers(rows: DataFrame, by: list[str], name: str, partitions: int | None = None) -> DataFrame:
-    """1, 2, 3, ... over all rows by the columns ``by``, which must tell all rows apart, without one task for all.
+_ROW = (1 << 33) - 1  # what monotonically_increasing_id has of the row within its partition
 
-    Rows are range-partitioned and sorted; each range's count, a row for each
-    partition, gives the number that it starts from. Ranges are fixed in the
-    rows' own partition column before they are counted, so both passes agree even
-    if a partition is computed again.
+
+def numbered(rows: DataFrame, by: list[str], name: str, label: str = "ordered", first: int = 0) -> DataFrame:
+    """``rows`` with ``name``: their places in the order ``by`` (nulls first), counted from ``first``, without one task for all.
+
+    Rows are dealt out by ranges, sorted and written once. A number is that of the row within its range
+    and of all rows in the ranges before, of which there is one count for each partition.
+    Where ``by`` tells all rows apart, the numbers do not hang on how rows are dealt.
     """
     order = [F.col(c).asc_nulls_first() for c in by]
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cuts(rows, by, n)
-    key = F.struct(*by)
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (key >= c).cast("int")
-    dealt = rows.withColumn("_part", part)
-    starts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = starts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.join(F.broadcast(starts), "_part").withColumn(name, (within + F.col("_before")).cast("long")).drop("_part", "_before")
-
-
-def _cuts(rows: DataFrame, by: list[str], n: int):
-    """At most n - 1 cut points, literal structs, from a sample of bounded size. The sample only balances the ranges."""
-    total = rows.count()
-    if n < 2 or not total:
-        return []
-    share = min(1.0, 40.0 * n / total)
-    sample = sorted({tuple(r) for r in rows.select(*by).sample(share, seed=1).limit(200 * n).collect()}, key=lambda t: [(v is not None, v) for v in t])
-    step = max(1, len(sample) // n)
-    kinds = [rows.schema[c].dataType for c in by]
-    return [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(t, kinds, by)]) for t in sample[step::step][: n - 1]]
+    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("_at", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(part).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = ranged.select("*", part).join(F.broadcast(starts), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit(_ROW)) + F.lit(first)).drop("_at", "_part", "_before")
+
+
+def running_total(rows: DataFrame, by: list[str], totals: dict[str, str], label: str = "totals") -> DataFrame:
+    """``rows`` with, for each (column, name) of ``totals``, the sum of the column over all rows before, in the order ``by``. Rows in ranges as in :func:`numbered`."""
+    at = numbered(rows, by, "_n", label).withColumn("_run", F.shiftright("_n", 16))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = at.groupBy("_run").agg(*[F.sum(c).alias(f"_s_{c}") for c in totals])
+    sums = sums.select("_run", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in totals])
+    within = Window.partitionBy("_run").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    out = at.join(F.broadcast(sums), "_run")
+    return out.withColumns({name: F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c, name in totals.items()}).drop("_n", "_run", *[f"_b_{c}" for c in totals])
 
 
 def event_order(logs: DataFrame, boots: DataFrame | None = None, boot: str = "boot_uuid", by: tuple[str, ...] = ("timestamp_mach", "tracev3_file_id", *_OFFSETS), scalable: bool = True) -> DataFrame:
@@ -64,7 +61,7 @@ def event_order(logs: DataFrame, boots: DataFrame | None = None, boot: str = "bo
         rows = rows.withColumn("_rank", F.lit(UNKNOWN_BOOT_RANK).cast("long"))
     order = ["_rank", *by]
     if scalable:
-        return global_numbers(rows, order, "event_order").drop("_rank")
+        return numbered(rows, order, "event_order", first=1).drop("_rank")
     w = Window.orderBy(*[F.col(c).asc_nulls_first() for c in order])
     return rows.withColumn("event_order", F.row_number().over(w).cast("long")).drop("_rank")
 
