@@ -100,6 +100,11 @@ def signed64(hexadecimal: Column) -> Column:
     return F.conv(hexadecimal, 16, -10).cast("long")
 
 
+def content_digest(content: Column) -> Column:
+    """SHA-256 of a file's content (or a text's UTF-8 bytes), lower-case hexadecimal; of none, that of nothing."""
+    return F.sha2(F.coalesce(content.cast("binary"), F.lit("").cast("binary")), 256)
+
+
 def filename_token(s: Column) -> Column:
     return F.regexp_replace(s, "[^A-Za-z0-9_-]", "_")
 

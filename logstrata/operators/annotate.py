@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..kb import KnowledgeBase, Match, Signature, in_version_range
 from ..schemas import ANNOTATIONS, KB_SIGNATURES, VALUES
+from ..scratch import written
 
 
 def select_signatures(kb: KnowledgeBase, only_ids: Sequence[str] = (), only_tags: Sequence[str] = (), platform: str | None = None, version: str | None = None) -> list[Signature]:
@@ -73,7 +74,7 @@ def annotate(logs: DataFrame, kb: KnowledgeBase, applied_at: str = "", first_kb_
             cols = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind)], names=["log_id", "kb_id", "values"])
 
-    found = rows.mapInArrow(read, "log_id long, kb_id long, values array<struct<label:string,value:string>>")
+    found = written(rows.mapInArrow(read, "log_id long, kb_id long, values array<struct<label:string,value:string>>"), "annotated")  # one scan for three tables
     annotations = found.select("log_id", "kb_id")
     values = found.select("log_id", "kb_id", F.inline("values"))
     meta = spark.createDataFrame([(first_kb_id + i, s.id, s.action, s.description, s.confidence, list(s.tags), kb.version, applied_at) for i, s in enumerate(chosen)], "kb_id long, signature_id string, action string, description string, confidence string, tags array<string>, kb_version string, applied_at string")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ticks_to_ns
+from ..scratch import small, written
 
-#: Anchors up to which the clock table is broadcast; beyond, ranges are joined by bins.
+#: Rows up to which ranges are broadcast; beyond, they are joined by bins.
 BROADCAST_ROWS = 200_000
 
 
@@ -23,40 +24,79 @@ def anchor_intervals(anchors: DataFrame) -> DataFrame:
     return top.withColumn("high", F.lead("low").over(order)).filter(F.col("high").isNull() | (F.col("high") > F.col("low")))
 
 
-def range_join(left: DataFrame, right: DataFrame, equal: list[str], point: Column, low: Column, high: Column, closed: bool = False, how: str = "left") -> DataFrame:
-    """Rows of ``left`` with those of ``right`` whose [low, high) (or [low, high]) holds the point. A missing high is no bound.
+def range_join(left: DataFrame, right: DataFrame, equal: list[str], point: Column, low: Column, high: Column, closed: bool = False, how: str = "left", few: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``left`` with those of ``right`` whose [low, high) (or [low, high]) holds the point, of whole numbers. A missing high is no bound.
 
-    The equal keys make it a hash join; the range is checked within. ``right`` is
-    small against ``left``: broadcast if its rows are few, shuffled by the keys otherwise.
+    Up to ``few`` ranges are broadcast. More are cut at the bounds of a grid whose levels are powers of
+    two: a range is a row in each of the cells, two a level at most, that it is made of, and a point
+    looks up the one cell of each level that it lies in. So each side is shuffled by (equal keys, level, cell),
+    each meeting is made once, and rows grow with the logarithm of lengths only. ``how`` is left or inner.
     """
-    cond = (point >= low) & (high.isNull() | ((point <= high) if closed else (point < high)))
-    for k in equal:
-        cond = cond & (left[k] == right[k])
-    side = F.broadcast(right) if right.count() <= BROADCAST_ROWS else right
-    return left.join(side, cond, how)
+    inside = (point >= low) & (high.isNull() | ((point <= high) if closed else (point < high)))
+    if right.count() <= few:
+        cond = inside
+        for k in equal:
+            cond = cond & (left[k] == right[k])
+        return left.join(F.broadcast(right), cond, how)
+    names = left.columns + right.columns
+    a = left.select(F.struct(*[left[c] for c in left.columns]).alias("_l"), *[left[k].alias(f"_k{i}") for i, k in enumerate(equal)], point.cast("long").alias("_p")).withColumn("_id", F.monotonically_increasing_id())
+    a = written(a, "points")
+    end = F.coalesce((high + 1 if closed else high).cast("long"), F.lit(2**62))
+    b = right.select(F.struct(*[right[c] for c in right.columns]).alias("_r"), *[right[k].alias(f"_k{i}") for i, k in enumerate(equal)], low.cast("long").alias("_lo"), end.alias("_hi"))
+    cells = b.withColumn("_cell", F.explode(_cells(F.col("_lo"), F.col("_hi")))).select("_r", *[f"_k{i}" for i in range(len(equal))], "_cell.level", "_cell.cell")
+    levels = [r[0] for r in cells.select("level").distinct().collect()]  # at most 63
+    looked = a.select("_id", *[f"_k{i}" for i in range(len(equal))], F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("_p", n).alias("cell")) for n in levels])).alias("_cell") if levels else F.lit(None).alias("_cell"))
+    met = looked.select("_id", *[f"_k{i}" for i in range(len(equal))], "_cell.level", "_cell.cell").join(cells, [*[f"_k{i}" for i in range(len(equal))], "level", "cell"]).select("_id", "_r") if levels else None
+    if met is None:
+        return left.join(right, F.lit(False), how)
+    out = a.select("_id", "_l").join(met, "_id", how)
+    return out.select(*[F.col(f"_l.{c}") for c in left.columns], *[F.col(f"_r.{c}") for c in right.columns]).toDF(*names)
+
+
+def _cells(low: Column, high: Column) -> Column:
+    """The cells (level, cell) that [low, high) is made of: at each level at most one at either end, whose neighbour up the grid isn't wholly inside."""
+
+    def of(n: int) -> Column:
+        first, last = F.shiftright(low + ((1 << n) - 1), n), F.shiftright(high, n)  # whole cells of this level: [first, last)
+        at_start = (first < last) & (first % 2 != 0)
+        at_end = (first < last) & (last % 2 != 0)
+        cell = lambda c: F.struct(F.lit(n).alias("level"), c.alias("cell"))
+        start, stop = F.when(at_start, cell(first)), F.when(at_end & ~(at_start & (first == last - 1)), cell(last - 1))
+        return F.array(start, stop)
+
+    return F.array_compact(F.flatten(F.array(*[of(n) for n in range(62)])))
 
 
 def resolve_times(logs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``logs`` (boot_uuid, timestamp_mach, preamble_base) with timestamp_unix_ns and timesync_anchor_id.
+    """``logs`` (boot_uuid, timestamp_mach, preamble_base) with timestamp_unix_ns, timesync_anchor_id and timesync_file_id.
 
     ``anchors`` has a boot row (is_boot: its time at tick 0) and records for
     each boot. The record at or before the tick counts; without one, the boot row if
     the preamble base is 0, else the first record, which may lie after the tick.
     Without any, the time is 0 and there is no anchor.
     """
-    tied = F.struct("anchor_id", "kernel_time", "wall_ns", "numerator", "denominator")
+    tied = F.struct("anchor_id", "file_id", "kernel_time", "wall_ns", "numerator", "denominator")
     records = anchors.filter(~F.col("is_boot"))
-    few = F.broadcast if anchors.count() <= BROADCAST_ROWS else (lambda x: x)
-    spans = anchor_intervals(records).select(F.col("boot_uuid").alias("_b1"), F.col("low").alias("_low"), F.col("high").alias("_high"), tied.alias("_own"))
+    spans = written(anchor_intervals(records).select(F.col("boot_uuid").alias("_b1"), F.col("low").alias("_low"), F.col("high").alias("_high"), tied.alias("_own")), "spans")
+    # the ticks of a boot are cut into cells about as wide as a span, so a log meets the one or two spans of its cell and not all of its boot
+    size = spans.agg(F.count("_high").alias("n"), F.sum((F.col("_high") - F.col("_low")).cast("double")).alias("ticks")).first()
+    shift = max(0, int(size.ticks // max(size.n, 1)).bit_length()) if size.n else 0
+    cells = spans.filter("_high is not null").withColumn("_cell", F.explode(F.sequence(F.shiftright("_low", shift), F.shiftright(F.col("_high") - 1, shift))))
+    last = spans.filter("_high is null").select(F.col("_b1").alias("_b4"), F.col("_low").alias("_from"), F.col("_own").alias("_last"))
     first = records.groupBy(F.col("boot_uuid").alias("_b2")).agg(F.min_by(tied, "record").alias("_first"))
-    boot = anchors.filter("is_boot").groupBy(F.col("boot_uuid").alias("_b3")).agg(F.min_by(F.struct("anchor_id", F.lit(0).cast("long").alias("kernel_time"), "wall_ns", "numerator", "denominator"), "record").alias("_boot"))
+    at_boot = F.struct("anchor_id", "file_id", F.lit(0).cast("long").alias("kernel_time"), "wall_ns", "numerator", "denominator")
+    boot = anchors.filter("is_boot").groupBy(F.col("boot_uuid").alias("_b3")).agg(F.min_by(at_boot, "record").alias("_boot"))
+    ends = first.join(boot, F.col("_b2") == F.col("_b3"), "full_outer").withColumn("_b2", F.coalesce("_b2", "_b3")).drop("_b3")
+    ends = small(written(ends.join(last, F.col("_b2") == F.col("_b4"), "left").drop("_b4"), "boots"))
     tick, own_boot = F.col("timestamp_mach"), F.col("boot_uuid")
-    joined = logs.join(few(spans), (own_boot == F.col("_b1")) & (tick >= F.col("_low")) & (F.col("_high").isNull() | (tick < F.col("_high"))), "left")
-    joined = joined.join(few(first), own_boot == F.col("_b2"), "left").join(few(boot), own_boot == F.col("_b3"), "left")
-    joined = joined.withColumn("_a", F.coalesce("_own", F.when(F.col("preamble_base") == 0, F.coalesce("_boot", "_first")).otherwise(F.col("_first"))))
+    near = small(written(cells, "cells"), BROADCAST_ROWS)
+    joined = logs.join(near, (own_boot == F.col("_b1")) & (F.shiftright(tick, shift) == F.col("_cell")) & (tick >= F.col("_low")) & (tick < F.col("_high")), "left")
+    joined = joined.join(ends, own_boot == F.col("_b2"), "left")
+    own = F.coalesce("_own", F.when(tick >= F.col("_from"), F.col("_last")))
+    joined = joined.withColumn("_a", F.coalesce(own, F.when(F.col("preamble_base") == 0, F.coalesce("_boot", "_first")).otherwise(F.col("_first"))))
     ns = F.col("_a.wall_ns") + ticks_to_ns(tick - F.col("_a.kernel_time"), F.col("_a.numerator"), F.col("_a.denominator"))
-    rest = [c for c in logs.columns if c not in ("timestamp_unix_ns", "timesync_anchor_id")]
-    return joined.select(*[logs[c] for c in rest], F.coalesce(ns, F.lit(0)).cast("long").alias("timestamp_unix_ns"), F.col("_a.anchor_id").alias("timesync_anchor_id"))
+    made = {"timestamp_unix_ns": F.coalesce(ns, F.lit(0)).cast("long"), "timesync_anchor_id": F.col("_a.anchor_id"), "timesync_file_id": F.col("_a.file_id").cast("long")}
+    return joined.select(*[logs[c] for c in logs.columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, value: list[str]) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import floor_div, int_or_zero, plain_message, plain_uuid, process_label
-from .ordering import first_of_each
+from ..functions.scalars import content_digest, floor_div, int_or_zero, plain_message, plain_uuid, process_label
+from ..scratch import small, written
+from .ordering import first_of_each, numbered
 
 KEY = ["boot", "mach", "tid"]
 FIELDS = ("pid", "euid", "log_level", "event_type", "subsystem", "category", "activity_id", "process")
@@ -56,10 +57,13 @@ def message_stats(matched: DataFrame) -> DataFrame:
     )
 
 
-def most_missing(outer: DataFrame, n: int = 10) -> DataFrame:
-    """Processes with most logs that only the reference has; ties by name."""
-    missing = outer.filter("verdict = 'missing'").select(process_label(F.col("ref.process"), F.col("ref.process_uuid")).alias("process"))
-    return missing.groupBy("process").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "process").limit(n)
+def most_missing(outer: DataFrame, n: int = 10, by: str = "process") -> DataFrame:
+    """(process or format, n): those with most logs that only the reference has, ``by`` process or format; ties by name."""
+    if by not in ("process", "format"):
+        raise ValueError(by)
+    name = process_label(F.col("ref.process"), F.col("ref.process_uuid")) if by == "process" else F.coalesce("ref.message_format_string", F.lit(""))
+    missing = outer.filter("verdict = 'missing'").select(name.alias(by))
+    return missing.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(n)
 
 
 def samples(outer: DataFrame, verdict: str, n: int = 20) -> DataFrame:
@@ -92,17 +96,22 @@ def read_reference(lines: DataFrame) -> DataFrame:
 def compare_files(a: DataFrame, b: DataFrame) -> DataFrame:
     """(rel_path, verdict): identical, append (a is the beginning of b), shrunk, diverged, only_a, only_b.
 
-    Both have rel_path, sha256, size and content (binary). Content is looked at only where digests differ.
+    Both have rel_path, sha256, size and content (binary). Digests and sizes are joined first. Content is
+    fetched only for paths whose digests differ and whose sizes leave a beginning possible, and of the
+    longer side only what stands against the shorter one.
     """
-    x = a.select("rel_path", F.struct("sha256", "size", "content").alias("a"))
-    y = b.select("rel_path", F.struct("sha256", "size", "content").alias("b"))
-    both = x.join(y, "rel_path", "full_outer")
-    begins = lambda whole, part: F.substring(F.col(whole), F.lit(1), F.octet_length(part).cast("int")) == F.col(part)
+    x = a.select("rel_path", F.struct("sha256", "size").alias("a"))
+    y = b.select("rel_path", F.struct("sha256", "size").alias("b"))
+    both = written(x.join(y, "rel_path", "full_outer"), "digests")
+    unlike = F.col("a.sha256") != F.col("b.sha256")
+    open_ = small(written(both.filter(unlike & (F.col("a.size") != F.col("b.size"))).select("rel_path", F.least("a.size", "b.size").cast("int").alias("n")), "unlike"))
+    start = lambda side, name: side.select("rel_path", "content").join(open_, "rel_path").select("rel_path", F.sha2(F.substring("content", F.lit(1), F.col("n")), 256).alias(name))
+    same = start(a, "p").join(start(b, "q"), "rel_path").filter("p = q").select("rel_path", F.lit(True).alias("begins"))
     verdict = (
-        F.when(F.col("b").isNull(), F.lit("only_a")).when(F.col("a").isNull(), F.lit("only_b")).when(F.col("a.sha256") == F.col("b.sha256"), F.lit("identical"))
-        .when((F.col("a.size") < F.col("b.size")) & begins("b.content", "a.content"), F.lit("append")).when((F.col("a.size") > F.col("b.size")) & begins("a.content", "b.content"), F.lit("shrunk")).otherwise(F.lit("diverged"))
+        F.when(F.col("b").isNull(), F.lit("only_a")).when(F.col("a").isNull(), F.lit("only_b")).when(~unlike, F.lit("identical"))
+        .when(F.col("begins"), F.when(F.col("a.size") < F.col("b.size"), F.lit("append")).otherwise(F.lit("shrunk"))).otherwise(F.lit("diverged"))
     )
-    return both.select("rel_path", verdict.alias("verdict"))
+    return both.join(same, "rel_path", "left").select("rel_path", verdict.alias("verdict"))
 
 
 def is_log_data(path) -> object:
@@ -127,7 +136,7 @@ def file_table(spark, root: str) -> DataFrame:
     path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     full = files.select(F.substring_index(path, base, -1).alias("rel_path"), F.col("length").alias("size"), "content")
     both = full.unionByName(spark.createDataFrame(empty, "rel_path string, size long, content binary"))
-    return both.select("rel_path", "size", F.sha2("content", 256).alias("sha256"), "content")
+    return both.select("rel_path", "size", content_digest(F.col("content")).alias("sha256"), "content")
 
 
 def custody(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -138,7 +147,11 @@ def custody(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def tree_digest(files: DataFrame) -> str:
-    """One digest over sorted paths and content digests; a renamed file changes it. Paths and digests pass the driver one partition at a time."""
+    """One digest over sorted paths and content digests; a renamed file changes it.
+
+    It is the plain digest of one stream, so that other tools get the same; paths and digests, a row
+    for each file, pass the driver one partition at a time and are never held there.
+    """
     import hashlib
 
     h = hashlib.sha256()
@@ -147,11 +160,16 @@ def tree_digest(files: DataFrame) -> str:
     return h.hexdigest()
 
 
-def ordered_digest(rows: DataFrame, by: list[str]) -> str:
-    """Digest of all rows in the order ``by``; equal for equal results however they were computed."""
+def ordered_digest(rows: DataFrame, by: list[str], run: int = 10_000) -> str:
+    """Digest of all rows in the order ``by``, which tells them apart; equal for equal results however they were computed.
+
+    Rows are numbered and their digests digested in runs of ``run``, wherever they lie; the driver sees one digest for each run.
+    """
     import hashlib
 
+    digests = rows.select(*by, F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), 256).alias("_d"))
+    runs = numbered(digests, by, "_n").groupBy(F.floor(F.col("_n") / run).alias("r")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_d"))), lambda x: x["_d"]), ""), 256).alias("d"))
     h = hashlib.sha256()
-    for r in rows.select(*by, F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), 256).alias("_d")).orderBy(*by).toLocalIterator():
-        h.update(bytes.fromhex(r["_d"]))
+    for r in runs.orderBy("r").toLocalIterator():
+        h.update(bytes.fromhex(r.d))
     return h.hexdigest()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 import warnings
 from dataclasses import dataclass, field
@@ -10,6 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import content_digest
 from ..kb import KnowledgeBase
 from ..operators import compare, diff, summary
 from ..operators.annotate import annotate
@@ -28,7 +30,7 @@ class ExtractResult:
     seconds: dict[str, float] = field(default_factory=dict)
 
 
-def run_extract(spark: SparkSession, source: str, case_path: str, work: str | None = None, keep_parsed: bool = False) -> ExtractResult:
+def run_extract(spark: SparkSession, source: str, case_path: str, work: str | None = None, keep_parsed: bool = False, keep_raw: bool = False) -> ExtractResult:
     """A case from an archive in any wrapping. Its status is running until all tables are there, and cancelled if that fails.
 
     Parsed records are written once; joins and windows read them. Source files are hashed before and
@@ -40,13 +42,15 @@ def run_extract(spark: SparkSession, source: str, case_path: str, work: str | No
         nonlocal began
         seconds[phase], began = round(time.time() - began, 3), time.time()
 
-    root = source
+    root, facts = source, {}
     if "://" not in source:
         if package.is_package(source):
-            root = package.unpack(source, work or f"{case_path}.work")
+            root = package.unpack(source, _work(spark, source, work, case_path))
         else:
-            root = containers.prepare(source, work or f"{case_path}.work").root
-    case = CaseStore.create(spark, case_path, source=source, started=datetime.now(timezone.utc).isoformat())
+            made = containers.prepare(source, _work(spark, source, work, case_path))
+            root, facts = made.root, {"product_version": made.product_version}
+        facts |= {"archive": containers.archive_facts(root)}
+    case = CaseStore.create(spark, case_path, source=source, started=datetime.now(timezone.utc).isoformat(), **facts)
     done("prepare")
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -54,31 +58,40 @@ def run_extract(spark: SparkSession, source: str, case_path: str, work: str | No
         return case.table(f"_{name}")
 
     try:
-        tables = read_archive(spark, root, keep)
+        tables = read_archive(spark, root, keep, keep_raw)
         case.write("source_files", tables["source_files"])
         done("parse")
         for name in ("anchors", "boots", "logs"):
             case.write(name, tables[name])
         done("resolve and order")
-        files = archive_files(spark, root)
+        files = archive_files(spark, root, ids=False)
         lines = files.filter("kind = 'shutdown'").select(F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("n", "value"))
         if not lines.isEmpty():
             for name, df in zip(("shutdown_events", "shutdown_clients"), parse_shutdown_log(lines)):
                 case.write(name, df)
-        after = files.select("rel_path", F.sha2("content", 256).alias("sha256"))
+        after = files.select("rel_path", content_digest(F.col("content")).alias("sha256"))
         changed = compare.custody(case.table("source_files"), after).filter("status <> 'matched'").count()
         done("hash again")
         b = summary.bounds(case.table("logs")).first()
-        case.set_status("complete", rows=b.total, first_ns=b.first_ns, last_ns=b.last_ns, changed_files=changed, seconds=seconds)
+        damaged = case.table("source_files").filter(F.size("damage") > 0).count()
+        case.set_status("complete", rows=b.total, first_ns=b.first_ns, last_ns=b.last_ns, changed_files=changed, damaged_files=damaged, seconds=seconds)
     except BaseException:
         case.set_status("cancelled")
         raise
     if not keep_parsed:
-        for name in ("_parsed", "_strings", "_anchors"):
+        for name in ("_parsed", "_strings", "_anchors", "_boots"):
             _remove(spark, f"{case_path}/{name}")
     return ExtractResult(case_path, b.total, b.first_ns, b.last_ns, seconds)
 
 
+def _work(spark: SparkSession, source: str, work: str | None, case_path: str) -> str:
+    """Where a wrapped archive is unpacked to. Executors read from there, so on a cluster it has to be named and shared."""
+    master = spark.sparkContext.master
+    if work is None and not (master == "local" or master.startswith("local[")) and not os.path.isdir(source):
+        raise ValueError("work: name a folder that all executors share, or unpack the archive first")
+    return work or f"{case_path}.work"
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -136,7 +149,7 @@ def verify_case(case: CaseStore, root: str | None = None) -> list[Check]:
     stored = case.table("source_files")
     if root is None:
         return [*out, Check("source files", None, "no source given")]
-    fresh = archive_files(case.spark, root).select("rel_path", F.sha2("content", 256).alias("sha256"))
+    fresh = archive_files(case.spark, root, ids=False).select("rel_path", content_digest(F.col("content")).alias("sha256"))
     counts = {r.status: r.n for r in compare.custody(stored, fresh).groupBy("status").agg(F.count("*").alias("n")).collect()}
     bad = {k: v for k, v in counts.items() if k in ("mismatch", "missing_file")}
     return [*out, Check("source files", None if not counts.get("matched") and not bad else not bad, ", ".join(f"{v} {k}" for k, v in sorted(counts.items())))]

@@ -4,21 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_LONGS = "id tracev3_file_id format_src_file_id timesync_file_id tracev3_chunkset_file_offset tracev3_firehose_inner_offset tracev3_entry_inner_offset format_string_file_offset timestamp_unix_ns timestamp_mach timesync_anchor_id"
-_FACT = [(n, T.LongType()) for n in _LONGS.split()] + [
-    ("process", T.StringType()), ("pid", T.LongType()), ("tid", T.LongType()), ("euid", T.LongType()), ("log_level", T.StringType()), ("event_type", T.StringType()), ("subsystem", T.StringType()),
-    ("category", T.StringType()), ("message", T.StringType()), ("message_format_string", T.StringType()), ("library", T.StringType()), ("library_uuid", T.StringType()), ("process_uuid", T.StringType()),
-    ("activity_id", T.LongType()), ("parent_activity_id", T.LongType()), ("boot_uuid", T.StringType()), ("raw_data", T.StringType()),
-]
+_FACT = {
+    "id": "long",
+    "tracev3_file_id": "long",
+    "format_src_file_id": "long",
+    "timesync_file_id": "long",
+    "tracev3_chunkset_file_offset": "long",
+    "tracev3_firehose_inner_offset": "long",
+    "tracev3_entry_inner_offset": "long",
+    "format_string_file_offset": "long",
+    "timestamp_unix_ns": "long",
+    "timestamp_mach": "long",
+    "timesync_anchor_id": "long",
+    "process": "string",
+    "pid": "long",
+    "tid": "long",
+    "euid": "long",
+    "log_level": "string",
+    "event_type": "string",
+    "subsystem": "string",
+    "category": "string",
+    "message": "string",
+    "message_format_string": "string",
+    "library": "string",
+    "library_uuid": "string",
+    "process_uuid": "string",
+    "activity_id": "long",
+    "parent_activity_id": "long",
+    "boot_uuid": "string",
+    "raw_data": "string",
+}
 #: One row for each log entry, in the column order of the fact table.
-FACT = T.StructType([T.StructField(n, t) for n, t in _FACT])
+FACT = T.StructType([T.StructField(name, T.LongType() if kind == "long" else T.StringType()) for name, kind in _FACT.items()])
 #: Columns in which an empty string means none. The message keeps an empty string.
 EMPTY_IS_NULL = ("process", "log_level", "event_type", "subsystem", "category", "message_format_string", "library", "library_uuid", "process_uuid", "boot_uuid")
 #: The stable read surface.
 VIEW = ("id", "timestamp_unix_ns", "timestamp_mach", "process", "pid", "tid", "euid", "log_level", "event_type", "subsystem", "category", "message", "message_format_string", "boot_uuid")
 
 ANCHORS = "anchor_id long, boot_uuid string, file_id long, file_offset long, kernel_time long, wall_ns long, record long, numerator long, denominator long, boot_rank long, is_boot boolean"
-SOURCE_FILES = "file_id long, rel_path string, kind string, size long, sha256 string, sha256_after string"
+SOURCE_FILES = "file_id long, rel_path string, kind string, size long, sha256 string, entries long, damage array<string>"
 KB_SIGNATURES = "kb_id long, signature_id string, action string, description string, confidence string, tags array<string>, kb_version string, match_count long, applied_at string"
 ANNOTATIONS = "log_id long, kb_id long"
 VALUES = "log_id long, kb_id long, label string, value string"

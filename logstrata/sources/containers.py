@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import plistlib
 import shutil
 import tarfile
 import zipfile
@@ -22,6 +23,7 @@ class Prepared:
     kind: str
     root: str
     fingerprint: str | None = None
+    product_version: str | None = None
 
 
 def detect(path: str) -> str:
@@ -61,6 +63,29 @@ def fingerprint(path: str, part: int = 65_536) -> str:
     return hashlib.sha256(head + str(size).encode() + tail).hexdigest()
 
 
+def product_version(data: bytes) -> str | None:
+    """The system's version as a SystemVersion.plist states it; None where it can't be read."""
+    try:
+        found = plistlib.loads(data).get("ProductVersion")
+    except Exception:  # a foreign or damaged file says nothing
+        return None
+    return str(found) if found else None
+
+
+def archive_facts(archive: str) -> dict:
+    """Identifier and version of an archive's Info.plist, as far as it has them."""
+    try:
+        raw = plistlib.loads((Path(archive) / "Info.plist").read_bytes())
+    except Exception:  # none there, or damaged
+        return {}
+    named = {"identifier": "ArchiveIdentifier", "version": "OSArchiveVersion"}
+    return {k: str(raw[v]) for k, v in named.items() if isinstance(raw, dict) and raw.get(v)}
+
+
+def _says_version(name: str) -> bool:
+    return name.replace("\\", "/").lower().rsplit("/", 1)[-1] == "systemversion.plist"
+
+
 def _target(work: Path, inner: PurePosixPath) -> Path:
     """Where a member goes; never outside the work folder."""
     out = (work / inner).resolve()
@@ -84,7 +109,7 @@ def prepare(path: str, work: str, reset: bool = False) -> Prepared:
     kind = detect(path)
     if kind == "logarchive":
         return Prepared(kind, path)
-    w = _claim(work, reset)
+    w, version = _claim(work, reset), None
     try:
         if kind == "loose":
             for d in loose_dirs(path):
@@ -93,13 +118,18 @@ def prepare(path: str, work: str, reset: bool = False) -> Prepared:
             with tarfile.open(path, "r:gz") as t:
                 for m in t:
                     parts = PurePosixPath(m.name).parts
-                    if m.isfile() and _ARCHIVE in parts:
+                    if m.isfile() and version is None and _says_version(m.name):
+                        version = product_version(t.extractfile(m).read())
+                    elif m.isfile() and _ARCHIVE in parts:
                         _copy(t.extractfile(m), _target(w, PurePosixPath(*parts[parts.index(_ARCHIVE) + 1 :])))
         else:
             with zipfile.ZipFile(path) as z:
                 root = None
                 for name in z.namelist():
                     parts = PurePosixPath(name).parts
+                    if version is None and _says_version(name):
+                        version = product_version(z.read(name))
+                        continue
                     at = next((k for k, x in enumerate(parts) if x in _MARK), None)
                     if at is None or name.endswith("/"):
                         continue
@@ -112,7 +142,7 @@ def prepare(path: str, work: str, reset: bool = False) -> Prepared:
     except BaseException:
         shutil.rmtree(w, ignore_errors=True)
         raise
-    return Prepared(kind, str(w), None if kind == "loose" else fingerprint(path))
+    return Prepared(kind, str(w), None if kind == "loose" else fingerprint(path), version)
 
 
 def _link(src: str, dst: str) -> None:

@@ -141,6 +141,26 @@ def test_archive_end_to_end(spark, archive):
     by_time = sorted(rows, key=lambda r: r["event_order"])
     assert [r["timestamp_mach"] for r in by_time] == sorted(r["timestamp_mach"] for r in rows)
     assert out["source_files"].count() == 6 and out["boots"].collect()[0].rank == 0
+    files = {r.file_id: r for r in out["source_files"].collect()}
+    named = lambda k: files[k].rel_path.rsplit("/", 1)[-1] if k else None
+    assert [named(r["format_src_file_id"]) for r in one] == [MAIN[2:], DSC, LIB[2:], LIB[2:], None, MAIN[2:], None, MAIN[2:], None, None, None]
+    assert {named(r["timesync_file_id"]) for r in rows} == {"00.timesync"} and first["raw_data"] is None
+    assert [files[k].entries for k in sorted(files) if files[k].kind == "log"] == [11, 11] and [r["id"] for r in rows] == list(range(1, 23))
+
+
+def test_raw_items_and_damage(spark, archive, tmp_path):
+    import json
+
+    root = tmp_path / "b.logarchive"
+    (root / "Persist").mkdir(parents=True)
+    (root / "timesync").mkdir()
+    (root / "timesync/00.timesync").write_bytes(timesync_file())
+    (root / "Persist/1.tracev3").write_bytes(log_file()[:-40])
+    (root / "Persist/2.tracev3").write_bytes(header() + catalog_chunk() + chunk(0x600D, b"nope" + bytes(8)))
+    out = read_archive(spark, str(root), keep_raw=True)
+    first = out["logs"].orderBy("id").first()
+    assert [x["value"] for x in json.loads(first.raw_data)] == ["world", "3"]
+    assert {r.rel_path[-9:]: (r.entries, r.damage) for r in out["source_files"].filter("kind = 'log'").collect()}["2.tracev3"] == (0, ["1 chunksets"])
 
 
 def test_data_source(spark, archive):
@@ -191,7 +211,12 @@ def test_containers(archive, tmp_path):
         t.add(archive, "sys/system_logs.logarchive")
         info = tarfile.TarInfo("sys/other.txt")
         t.addfile(info, io.BytesIO(b""))
+        version = plistlib.dumps({"ProductVersion": "17.5.1"})
+        info = tarfile.TarInfo("sys/logs/SystemVersion/SystemVersion.plist")
+        info.size = len(version)
+        t.addfile(info, io.BytesIO(version))
     got = containers.prepare(str(tmp_path / "s.tar.gz"), str(tmp_path / "w1"))
+    assert got.product_version == "17.5.1" and containers.product_version(b"x") is None and containers.archive_facts(got.root) == {}
     assert got.kind == "sysdiagnose" and (tmp_path / "w1/Persist/0000000000000001.tracev3").is_file() and not (tmp_path / "w1/other.txt").exists()
     with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
         z.write(archive / "Persist/0000000000000001.tracev3", "private/var/db/diagnostics/Persist/1.tracev3")
