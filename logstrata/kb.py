@@ -48,6 +48,7 @@ class Signature:
     author: str = ""
     created: str = ""
     version: str = ""
+    status: str = "validated"
     source_file: str = ""
 
     @property
@@ -74,7 +75,10 @@ def in_version_range(version: str | None, least: str | None, most: str | None) -
     return v is None or (a is None or v >= a) and (b is None or v <= b)
 
 
-_KEYS = {"id", "action", "description", "match", "interpretation", "caveats", "extract-regex", "extract-fields", "confidence", "platform", "ios_min", "ios_max", "references", "tags", "author", "created", "version"}
+#: Keys of a signature in a file; those that have two spellings read the same.
+_KEYS = {"id", "action", "description", "match", "interpretation", "caveats", "confidence", "platform", "ios_min", "ios_max", "references", "tags", "author", "created", "version", "status"}
+_SPELLINGS = {"extract_regex": "extract-regex", "extract_fields": "extract-fields"}
+STATUSES = ("draft", "validated", "deprecated")
 _MATCH_KEYS = set(Match.__dataclass_fields__)
 
 
@@ -99,7 +103,11 @@ def build_signature(raw: object, where: str) -> Signature:
     if not isinstance(raw, dict):
         raise KnowledgeBaseError(f"{where}: a signature must be a mapping")
     where = f"{where}: {raw.get('id', '?')}"
-    if odd := sorted(set(raw) - _KEYS):
+    raw = dict(raw)
+    for other, key in _SPELLINGS.items():
+        if (value := raw.pop(other, None)) and not raw.get(key):
+            raw[key] = value
+    if odd := sorted(set(raw) - _KEYS - set(_SPELLINGS.values())):
         raise KnowledgeBaseError(f"{where}: unknown keys {odd}")
     m = raw.get("match")
     if not isinstance(m, dict) or set(m) - _MATCH_KEYS:
@@ -120,13 +128,16 @@ def build_signature(raw: object, where: str) -> Signature:
     confidence = raw.get("confidence", "medium")
     if confidence not in ("low", "medium", "high"):
         raise KnowledgeBaseError(f"{where}: confidence must be low, medium or high")
+    status = _text(raw, "status", where) or "validated"
+    if status not in STATUSES:
+        raise KnowledgeBaseError(f"{where}: status must be one of {STATUSES}")
     plain = {k: _text(m, k, where) for k in _MATCH_KEYS - {"format_str_any", "dynamic"}}
     return Signature(
         id=_text(raw, "id", where, True), action=_text(raw, "action", where, True), description=_text(raw, "description", where, True),
         match=Match(format_str_any=_texts(m, "format_str_any", where), dynamic=bool(m.get("dynamic")), **plain),
         interpretation=_text(raw, "interpretation", where) or "", caveats=_text(raw, "caveats", where) or "", extract_regex=_text(raw, "extract-regex", where), extract_fields=tuple(fields.items()),
         confidence=confidence, platform=_text(raw, "platform", where) or "ios", ios_min=_text(raw, "ios_min", where), ios_max=_text(raw, "ios_max", where), references=_texts(raw, "references", where), tags=_texts(raw, "tags", where),
-        author=str(raw.get("author") or ""), created=str(raw.get("created") or ""), version=str(raw.get("version") or ""), source_file=where.split(":")[0],
+        author=str(raw.get("author") or ""), created=str(raw.get("created") or ""), version=str(raw.get("version") or ""), status=status, source_file=where.split(":")[0],
     )
 
 
@@ -173,7 +184,7 @@ def render_signature(s: Signature) -> str:
 
     q = lambda v: json.dumps(v, ensure_ascii=False)  # noqa: E731  (a JSON text is a YAML text)
     lines = [f"- id: {q(s.id)}", f"  action: {q(s.action)}", f"  description: {q(s.description)}"]
-    for key in ("interpretation", "caveats", "confidence", "platform", "ios_min", "ios_max", "author", "created", "version"):
+    for key in ("interpretation", "caveats", "confidence", "platform", "ios_min", "ios_max", "author", "created", "version", "status"):
         if v := getattr(s, key):
             lines.append(f"  {key}: {q(v)}")
     lines.append("  match:")

@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 #: Fixed value: the note on rows whose time could not be resolved.
 UNRESOLVED = "unresolved timestamp (timestamp_unix_ns=0)"
 _PROCESS = "process_key"
+#: The columns of an exported comparison. Those that a case does not have are left out.
+EXPORT_COLUMNS = ("timestamp", "timestamp_unix_ns", "event_order", "source_order", "source_file", "process", "pid", "tid", "log_level", "event_type", "subsystem", "category", "message", "matched_signatures", "note")
 
 
 def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn(_PROCESS, F.coalesce("process", F.lit("")))
 
 
+def cutoffs(logs: DataFrame, *by: str) -> DataFrame:
+    """The latest resolved time (cutoff) of each group; without groups, one row, null if no time is resolved."""
+    return logs.filter("timestamp_unix_ns > 0").groupBy(*by).agg(F.max("timestamp_unix_ns").alias("cutoff"))
+
+
 def baseline_cutoff(baseline: DataFrame) -> int:
     """The latest resolved time of the baseline."""
-    cutoff = baseline.filter("timestamp_unix_ns > 0").agg(F.max("timestamp_unix_ns")).first()[0]
+    cutoff = cutoffs(baseline).first().cutoff
     if cutoff is None:
         raise ValueError("the baseline has no log with a resolved time")
     return cutoff
@@ -79,22 +86,34 @@ class IdentifyResults:
         out = _keyed(self._rows).join(marks, ["message", _PROCESS], "left")
         return out.select(*self._rows.columns, F.col("_h").isNotNull().alias("is_hidden"), F.coalesce(F.col("signatures") != "", F.lit(False)).alias("is_known"))
 
-    def counts(self) -> Counts:
+    def count_table(self) -> DataFrame:
+        """One row: retained, noise, kb_known, hidden."""
         noise, known, hidden = F.col("excluded") == 1, F.col("is_known"), F.col("is_hidden")
-        return Counts(*self.flagged().agg(F.count_if(~noise & ~known & ~hidden), F.count_if(noise), F.count_if(known), F.count_if(hidden)).first())
+        return self.flagged().agg(F.count_if(~noise & ~known & ~hidden).alias("retained"), F.count_if(noise).alias("noise"), F.count_if(known).alias("kb_known"), F.count_if(hidden).alias("hidden"))
+
+    def counts(self) -> Counts:
+        return Counts(*self.count_table().first())
 
     def rows(self, noise: bool = False, known: bool = False, hidden: bool = False, search: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
-        from .filters import like
+        """The rows in read order. ``search`` is a part of the message as it stands, whatever the case of its ASCII letters; ``%`` and ``_`` are themselves."""
+        from .filters import contains
 
         out = self.flagged()
         for show, flag in ((noise, F.col("excluded") == 1), (known, F.col("is_known")), (hidden, F.col("is_hidden"))):
             if not show:
                 out = out.filter(~flag)
         if search:
-            pattern = f"%{search}%"
-            out = out.filter(like(F.coalesce("message", F.lit("")), pattern) | like(F.coalesce("process", F.lit("")), pattern))
+            out = out.filter(contains(F.col("message"), search))
         out = out.select(*self._rows.columns).orderBy("timestamp_unix_ns", "id").offset(offset)
         return out if limit is None else out.limit(limit)
 
     def count(self, **which) -> int:
         return self.rows(**which).count()
+
+    def export_csv(self, path: str, noise: bool = False, known: bool = True) -> int:
+        """The rows that are not hidden as one CSV file, in read order; returns how many."""
+        from ..functions.scalars import iso_or_empty
+        from .export import write_csv
+
+        rows = self.rows(noise=noise, known=known).withColumns({"timestamp": iso_or_empty(F.col("timestamp_unix_ns")), "matched_signatures": F.coalesce("signatures", F.lit(""))})
+        return write_csv(rows, path, [c for c in EXPORT_COLUMNS if c in rows.columns]).rows

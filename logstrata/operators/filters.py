@@ -91,6 +91,11 @@ def like(column: Column, pattern: str) -> Column:
     return fold(column).like(_ascii_lower(pattern).replace("\\", "\\\\"))
 
 
+def contains(column: Column, part: str) -> Column:
+    """Whether a text holds ``part`` literally, blind to the case of ASCII letters."""
+    return fold(column).contains(_ascii_lower(part))
+
+
 def _ascii_lower(s: str) -> str:
     return "".join(c.lower() if c < "\x80" else c for c in s)
 
@@ -158,7 +163,7 @@ def predicate(filters: LogFilters, now_ns: int | None = None) -> Column:
     if filters.message_prefix is not None:
         parts.append(fold(message).startswith(_ascii_lower(filters.message_prefix)))
     if filters.message_contains is not None:
-        parts.append(fold(message).contains(_ascii_lower(filters.message_contains)))
+        parts.append(contains(message, filters.message_contains))
     if filters.message_match is not None and (found := matches_keywords(message, filters.message_match)) is not None:
         parts.append(found)
     return reduce(lambda a, b: a & b, parts, F.lit(True))

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import LogFilters, apply_filters
+from ..schemas import VIEW
+from .filters import LogFilters, apply_filters, warn_unknown
 from .ordering import event_window
 
 PAGE = 500
@@ -25,6 +26,23 @@ def rolled_up(logs: DataFrame, signatures: DataFrame, annotations: DataFrame, va
     return out.withColumn("signature_ids", F.coalesce("signature_ids", F.array().cast("array<string>")))
 
 
+def read_surface(logs: DataFrame) -> DataFrame:
+    """The stable columns, as far as the rows have them."""
+    return logs.select(*[c for c in (*VIEW, "source_order", "event_order") if c in logs.columns])
+
+
+def with_lookups(fact: DataFrame, *lookups: tuple[DataFrame, str, str, list[str]]) -> DataFrame:
+    """``fact`` with columns of its lookup tables, each (table, key in the fact, key in the table, columns); rows without a match keep nulls.
+
+    Only key and columns of a lookup are read; one that is small by its statistics, or found so at run time, is broadcast.
+    """
+    out = fact
+    for k, (table, own, key, columns) in enumerate(lookups):
+        side = table.select(F.col(key).alias(f"_key{k}"), *columns)
+        out = out.join(side, F.col(own) == F.col(f"_key{k}"), "left").drop(f"_key{k}")
+    return out
+
+
 class LogStore:
     """A case that is held open: its tables and what can be asked of them."""
 
@@ -60,8 +78,12 @@ class LogStore:
             raise ValueError("this case is not annotated")
         return self.annotations.filter(F.col("log_id") == log_id).join(self.signatures, "kb_id").orderBy("signature_id")
 
+    def label_table(self) -> DataFrame:
+        """(signature_id, label, n): the labels that each signature has values for, and how many."""
+        return self.values.join(self.signatures.select("kb_id", "signature_id"), "kb_id").groupBy("signature_id", "label").agg(F.count("*").alias("n"))
+
     def labels(self) -> list[str]:
-        return [r[0] for r in self.values.select("label").distinct().orderBy("label").collect()] if self.values is not None else []
+        return [r[0] for r in self.label_table().select("label").distinct().orderBy("label").collect()] if self.values is not None and self.signatures is not None else []
 
     def rows(self, filters: LogFilters | None = None, limit: int | None = None) -> Iterator:
         """Rows one after the other, a partition at a time on the driver."""
@@ -71,7 +93,10 @@ class LogStore:
         return rolled_up(rows, self.signatures, self.annotations, self.values) if self.annotated else rows
 
 
-def query_logs(logs: DataFrame, limit: int | None = None, **criteria) -> DataFrame:
+def query_logs(logs: DataFrame, limit: int | None = None, check_names: bool = False, **criteria) -> DataFrame:
+    """Matching rows in read order. With ``check_names`` names that no row has are warned of first, which reads the columns asked for."""
+    if check_names:
+        warn_unknown(logs, LogFilters(**criteria))
     return LogStore(logs).query(LogFilters(**criteria), limit)
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NS = 1_000_000_000
 #: Histogram bucket widths in seconds.
-BUCKETS = (1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 14400, 21600, 43200, 86400, 172800, 604800)
+BUCKETS = (1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 21600, 43200, 86400, 172800, 604800)
 FACETS = ("process", "subsystem", "category", "log_level")
 
 
@@ -74,17 +74,25 @@ def top_actions(signatures: DataFrame, annotations: DataFrame, top: int = 10) ->
     return counted.orderBy(F.desc("n"), "signature_id", "action").limit(top)
 
 
+def top_facets(logs: DataFrame, top: int = 10) -> DataFrame:
+    """(facet, value, n, r): the most frequent values of each facet, ties by value; of levels, which are few, five."""
+    ranked = facets(logs).withColumn("r", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value")))
+    return ranked.filter(F.col("r") <= F.when(F.col("facet") == "log_level", 5).otherwise(top))
+
+
+def annotated_logs(annotations: DataFrame) -> DataFrame:
+    """One row: how many logs have an annotation."""
+    return annotations.agg(F.count_distinct("log_id").alias("n"))
+
+
 def summarise(logs: DataFrame, signatures: DataFrame | None = None, annotations: DataFrame | None = None, top: int = 10, buckets: int = 40) -> Summary:
     out = Summary(**bounds(logs).first().asDict())
     if not out.total or out.first_ns is None:
         return out
-    from pyspark.sql import Window
-
-    ranked = facets(logs).withColumn("r", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value")))
-    for r in ranked.filter(F.col("r") <= F.when(F.col("facet") == "log_level", 5).otherwise(top)).orderBy("facet", "r").collect():
+    for r in top_facets(logs, top).orderBy("facet", "r").collect():
         out.top.setdefault(r.facet, []).append((r.value, r.n))
     if annotations is not None:
-        out.annotated = annotations.select(F.count_distinct("log_id")).first()[0]
+        out.annotated = annotated_logs(annotations).first().n
         out.actions = [tuple(r) for r in top_actions(signatures, annotations, top).collect()]
     out.bucket_ns = bucket_ns(max(out.last_ns - out.first_ns, 1), buckets)
     out.histogram = [(r.start_ns, r.total, r.annotated) for r in histogram(logs, annotations, buckets).orderBy("bucket").collect()]

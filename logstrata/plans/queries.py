@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one for each operator that SQL can also express, with that SQL.
 
-Each runs the operator itself over whole tables; the SQL states the same result independently.
+Each calls the operator itself over whole tables; the SQL states the same result independently.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..operators import clock, compare, diff, export, ordering, summary
 from ..operators.filters import LogFilters, annotated_ids, apply_filters, tokens
-from ..operators.query import LogStore, rolled_up
+from ..operators.query import LogStore, read_surface, rolled_up, with_lookups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -123,7 +123,7 @@ _annotated("flt18_same_annotation", "signature_id = 'sig.buy' AND list_has_any(t
 
 @query("flt20_projection", f"WITH {SQL_LOGS} SELECT id, timestamp_unix_ns, timestamp_mach, process, log_level, event_type, subsystem, category, message, message_format_string, boot_uuid FROM logs")
 def _(spark, sf_dir):
-    return logs(spark, sf_dir).select("id", "timestamp_unix_ns", "timestamp_mach", "process", "log_level", "event_type", "subsystem", "category", "message", "message_format_string", "boot_uuid")
+    return read_surface(logs(spark, sf_dir)).drop("tid")
 
 
 @query("flt28_log_data_paths", "SELECT page_id, regexp_matches(url, '\\.tracev3$') OR regexp_matches(split_part(url, '//', 2), '^[0-9A-Fa-f]{2}/[0-9A-Fa-f]+$') AS is_log FROM pages")
@@ -137,8 +137,8 @@ def _(spark, sf_dir):
 
 @query("jn01_dimensions", "SELECT l.l_orderkey, l.l_linenumber, p.p_name, s.s_name FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey")
 def _(spark, sf_dir):
-    part, supplier = table(spark, sf_dir, "part").select("p_partkey", "p_name"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left").select("l_orderkey", "l_linenumber", "p_name", "s_name")
+    lookups = (table(spark, sf_dir, "part"), "l_partkey", "p_partkey", ["p_name"]), (table(spark, sf_dir, "supplier"), "l_suppkey", "s_suppkey", ["s_name"])
+    return with_lookups(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), *lookups).drop("l_partkey", "l_suppkey")
 
 
 @query("jn02_rollup", _WITH_KB + """ SELECT l.id, coalesce(array_to_string(list_sort(list(DISTINCT signature_id) FILTER (signature_id IS NOT NULL)), ','), '') AS signatures, max(CASE WHEN ann.kb_id IS NOT NULL THEN l.process END) AS who
@@ -184,9 +184,7 @@ def _(spark, sf_dir):
     SELECT count(*) FILTER (excluded = 0 AND NOT hidden) AS retained, count(*) FILTER (excluded = 1) AS noise, 0::BIGINT AS kb_known, count(*) FILTER (hidden) AS hidden FROM f""")
 def _(spark, sf_dir):
     hidden = logs(spark, sf_dir).filter("id <= 500").select("message", F.coalesce("process", F.lit("")).alias("process_key")).distinct()
-    return diff.IdentifyResults(_marked(spark, sf_dir), hidden).flagged().agg(
-        F.count_if((F.col("excluded") == 0) & ~F.col("is_known") & ~F.col("is_hidden")).alias("retained"), F.count_if(F.col("excluded") == 1).alias("noise"), F.count_if("is_known").alias("kb_known"), F.count_if("is_hidden").alias("hidden")
-    )
+    return diff.IdentifyResults(_marked(spark, sf_dir), hidden).count_table()
 
 
 # the same with hidden keys that grow with the table, all rows of one category, where the two above have the first 500 ids
@@ -205,9 +203,7 @@ def _(spark, sf_dir):
 
 @query("ag13_identify_counts_growing", _GROWING["ag13_identify_counts"])
 def _(spark, sf_dir):
-    return _identified(spark, sf_dir).flagged().agg(
-        F.count_if((F.col("excluded") == 0) & ~F.col("is_known") & ~F.col("is_hidden")).alias("retained"), F.count_if(F.col("excluded") == 1).alias("noise"), F.count_if("is_known").alias("kb_known"), F.count_if("is_hidden").alias("hidden")
-    )
+    return _identified(spark, sf_dir).count_table()
 
 
 @query("jn07_asof", """SELECT p.event_id, p.user_id, s.event_id AS right_event_id, epoch_us(s.ts) AS at_us FROM (SELECT * FROM events WHERE event_type = 'purchase') p
@@ -251,13 +247,22 @@ def _(spark, sf_dir):
     return out.groupBy("p_partkey", "p_size").agg(F.min_by("name", "lo").alias("name"))
 
 
-_SIDES = f"""WITH {SQL_LOGS}, ref AS (SELECT * FROM logs WHERE id % 3 <> 0), db AS (SELECT *, CASE WHEN id % 11 = 0 THEN upper(message) || '  ' WHEN id % 13 = 0 THEN 'other' ELSE message END AS m FROM logs WHERE id % 5 <> 0)"""
+_SIDES = f"""WITH {SQL_LOGS}, ref AS (SELECT * FROM logs WHERE id % 3 <> 0), db AS (SELECT *, CASE WHEN id % 11 = 0 THEN upper(message) || '  ' WHEN id % 13 = 0 THEN 'other' ELSE message END AS m, CASE WHEN id % 17 = 0 THEN 'Fault' ELSE log_level END AS level,
+    CASE WHEN id % 19 = 0 THEN message_format_string || '!' ELSE message_format_string END AS template, CASE WHEN timestamp_unix_ns = 0 THEN 0 ELSE timestamp_unix_ns + (id % 5) * 700 END AS t FROM logs WHERE id % 5 <> 0)"""
 
 
 def _outer(spark, sf_dir) -> DataFrame:
     rows = compare.match_key(logs(spark, sf_dir).withColumns({"process_uuid": F.lit(None).cast("string")}))
     changed = F.when(F.col("id") % 11 == 0, F.concat(F.upper("message"), F.lit("  "))).when(F.col("id") % 13 == 0, F.lit("other")).otherwise(F.col("message"))
-    return compare.full_outer(rows.filter("id % 3 <> 0"), rows.filter("id % 5 <> 0").withColumn("message", changed), compare.KEY, ["id"])
+    own = rows.filter("id % 5 <> 0").withColumns(
+        {
+            "message": changed,
+            "log_level": F.when(F.col("id") % 17 == 0, F.lit("Fault")).otherwise(F.col("log_level")),
+            "message_format_string": F.when(F.col("id") % 19 == 0, F.concat("message_format_string", F.lit("!"))).otherwise(F.col("message_format_string")),
+            "timestamp_unix_ns": F.when(F.col("timestamp_unix_ns") == 0, F.lit(0)).otherwise(F.col("timestamp_unix_ns") + F.col("id") % 5 * 700),
+        }
+    )
+    return compare.full_outer(rows.filter("id % 3 <> 0"), own, compare.KEY, ["id"])
 
 
 @query("jn14_full_outer", _SIDES + " SELECT coalesce(ref.id, db.id) AS id, CASE WHEN db.id IS NULL THEN 'missing' WHEN ref.id IS NULL THEN 'extra' ELSE 'matched' END AS verdict FROM ref FULL JOIN db ON ref.id = db.id")
@@ -265,13 +270,16 @@ def _(spark, sf_dir):
     return _outer(spark, sf_dir).select(F.coalesce("ref.id", "db.id").alias("id"), "verdict")
 
 
-@query("ag17_field_stats", _SIDES + " SELECT 'log_level' AS field, count(*) AS compared, count(*) AS equal, 100.0::DOUBLE AS pct FROM ref JOIN db USING (id) UNION ALL SELECT 'message', count(*), count(*) FILTER (ref.message = db.m), count(*) FILTER (ref.message = db.m) * 100.0::DOUBLE / count(*) FROM ref JOIN db USING (id)")
+_PAIRS = _SIDES + ", p AS (SELECT ref.log_level AS l1, db.level AS l2, ref.message AS m1, db.m AS m2, ref.message_format_string AS f1, db.template AS f2, ref.subsystem AS s1, db.subsystem AS s2, ref.timestamp_unix_ns AS t1, db.t AS t2 FROM ref JOIN db USING (id))"
+
+
+@query("ag17_field_stats", _PAIRS + " SELECT f AS field, count(*) AS compared, count(*) FILTER (same) AS equal, count(*) FILTER (same) * 100.0::DOUBLE / count(*) AS pct FROM (SELECT 'log_level' AS f, l1 IS NOT DISTINCT FROM l2 AS same FROM p UNION ALL SELECT 'message', m1 IS NOT DISTINCT FROM m2 FROM p UNION ALL SELECT 'subsystem', s1 IS NOT DISTINCT FROM s2 FROM p) GROUP BY f")
 def _(spark, sf_dir):
-    return compare.field_stats(_outer(spark, sf_dir).filter("verdict = 'matched'"), ("log_level", "message"))
+    return compare.field_stats(_outer(spark, sf_dir).filter("verdict = 'matched'"), ("log_level", "message", "subsystem"))
 
 
-@query("ag18_message_stats", _SIDES + """ SELECT count(*) AS matched, count(*) FILTER (ref.message = db.m) AS message_exact, count(*) FILTER (lower(trim(ref.message)) = lower(trim(db.m))) AS message_normalised, count(*) AS template_equal,
-    count(*) FILTER (ref.timestamp_unix_ns <> 0) AS times_compared, count(*) FILTER (ref.timestamp_unix_ns <> 0) AS times_equal, 0::BIGINT AS largest_delta_us FROM ref JOIN db USING (id)""")
+@query("ag18_message_stats", _PAIRS + """ SELECT count(*) AS matched, count(*) FILTER (m1 = m2) AS message_exact, count(*) FILTER (lower(trim(m1)) = lower(trim(m2))) AS message_normalised, count(*) FILTER (f1 = f2) AS template_equal,
+    count(*) FILTER (t1 <> 0 AND t2 <> 0) AS times_compared, count(*) FILTER (t1 <> 0 AND t2 <> 0 AND abs(t1 // 1000 - t2 // 1000) <= 1) AS times_equal, max(CASE WHEN t1 <> 0 AND t2 <> 0 THEN abs(t1 // 1000 - t2 // 1000) END) AS largest_delta_us FROM p""")
 def _(spark, sf_dir):
     return compare.message_stats(_outer(spark, sf_dir).filter("verdict = 'matched'"))
 
@@ -324,7 +332,7 @@ def _(spark, sf_dir):
 
 @query("ag08_annotated_logs", _WITH_KB + " SELECT count(DISTINCT log_id) AS n FROM ann")
 def _(spark, sf_dir):
-    return kb(spark, logs(spark, sf_dir))[1].agg(F.count_distinct("log_id").alias("n"))
+    return summary.annotated_logs(kb(spark, logs(spark, sf_dir))[1])
 
 
 @query("ag09_histogram", _WITH_KB + """, m AS (SELECT min(timestamp_unix_ns) AS lo, max(timestamp_unix_ns) AS hi FROM logs WHERE timestamp_unix_ns > 0), s AS (SELECT unnest(range(0, (hi - lo) // 86400000000000 + 1)) AS bucket, lo FROM m),
@@ -343,12 +351,15 @@ def _(spark, sf_dir):
 
 @query("ag15_values_joined", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), '; ') AS modes FROM lineitem GROUP BY l_orderkey")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), "; ").alias("modes"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("log_id"), F.lit(1).alias("kb_id"), F.lit("flag").alias("label"), F.col("l_returnflag").alias("value"))
+    signatures = spark.createDataFrame([(1, "s")], "kb_id int, signature_id string")
+    out = rolled_up(items.select(F.col("log_id").alias("id")).distinct(), signatures, items.select("log_id", "kb_id"), items)
+    return out.select(F.col("id").alias("l_orderkey"), F.try_element_at("values_by_label", F.lit("flag")).alias("modes"))
 
 
-@query("ag16_cutoff", f"WITH {SQL_LOGS} SELECT category, max(timestamp_unix_ns) FILTER (timestamp_unix_ns > 0) AS cutoff FROM logs GROUP BY category")
+@query("ag16_cutoff", f"WITH {SQL_LOGS} SELECT category, max(timestamp_unix_ns) AS cutoff FROM logs WHERE timestamp_unix_ns > 0 GROUP BY category")
 def _(spark, sf_dir):
-    return logs(spark, sf_dir).filter("timestamp_unix_ns > 0").groupBy("category").agg(F.max("timestamp_unix_ns").alias("cutoff"))
+    return diff.cutoffs(logs(spark, sf_dir), "category")
 
 
 # windows and order
@@ -440,7 +451,7 @@ def _(spark, sf_dir):
 
 @query("sf26_digests", "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", sc.content_digest(F.col("text")).alias("sha256"))
 
 
 @query("sf29_extract", "SELECT doc_id, regexp_extract(text, '([A-Za-z0-9._-]+)@([A-Za-z0-9.-]+)', 1) AS mail_user, regexp_extract(text, '([A-Za-z0-9._-]+)@([A-Za-z0-9.-]+)', 2) AS host FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+')")
@@ -465,13 +476,7 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", sc.floor_div(F.col("event_id") * 7 - 3000, 1000).alias("us"))
 
 
-@query("set_tokens", "SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS n FROM documents WHERE lang = 'en' AND text IS NOT NULL")
-def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'en' and text is not null").select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n"))
-
-
-# every document, where set_tokens and its SQL have English ones only; SQL without folding can't state it, tests hold it against brute force
-@query("set_tokens_all")
+@query("set_tokens", "SELECT doc_id, len(list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS n FROM documents")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
 
@@ -483,3 +488,217 @@ def _(spark, sf_dir):
     joined = ann.join(rows.select(F.col("id").alias("log_id"), "process", "category"), "log_id")
     values = joined.filter("kb_id in (1, 3)").select("log_id", F.when(F.col("kb_id") == 1, "clicked_by").otherwise("bought").alias("label"), F.when(F.col("kb_id") == 1, F.col("process")).otherwise(F.col("category")).alias("value"))
     return export.pivot_values(rows.select("id"), values, ["clicked_by", "bought"])
+
+
+# more of comparison, annotation, reading and functions
+
+
+@query("flt22_search", _DIFF + " SELECT id, message FROM marked WHERE excluded = 0 AND contains(lower(message), '100%_x d')")
+def _(spark, sf_dir):
+    return diff.IdentifyResults(_marked(spark, sf_dir)).rows(search="100%_X D").select("id", "message")
+
+
+@query("sl05_identify_page", _DIFF + " SELECT id FROM marked WHERE excluded = 0 ORDER BY timestamp_unix_ns, id LIMIT 40 OFFSET 25")
+def _(spark, sf_dir):
+    return diff.IdentifyResults(_marked(spark, sf_dir)).rows(limit=40, offset=25).select("id")
+
+
+def _signatures():
+    from ..kb import KnowledgeBase, Match, Signature
+
+    return KnowledgeBase("1", (
+        Signature("any", "a", "d", Match(format_str_any=("click %s", "view %s"), subsystem="sub.1"), tags=("t1",)),
+        Signature("odd", "a", "d", Match(format_str="error %s", log_level="Error", message_regex=r'"k": \d*[13579]\}'), tags=("t2",)),
+        Signature("late", "a", "d", Match(format_str="view %s"), ios_min="18.0", tags=("t1",)),
+        Signature("who", "a", "d", Match(process="user_3"), ios_max="17.5", tags=("t3",)),
+    ))
+
+
+def _hits(*chosen: str) -> str:
+    rules = {"any": "message_format_string IN ('click %s', 'view %s') AND subsystem = 'sub.1'", "odd": "message_format_string = 'error %s' AND log_level = 'Error' AND regexp_matches(message, '\"k\": [0-9]*[13579][}]')", "who": "process = 'user_3'", "late": "message_format_string = 'view %s'"}
+    return f"WITH {SQL_LOGS} " + " UNION ALL ".join(f"SELECT id AS log_id, '{k}' AS signature_id FROM logs WHERE {rules[k]}" for k in chosen)
+
+
+def _annotated_with(spark, sf_dir, **which) -> DataFrame:
+    from ..operators.annotate import annotate
+
+    signatures, annotations, _ = annotate(logs(spark, sf_dir), _signatures(), **which)
+    return annotations.join(F.broadcast(signatures.select("kb_id", "signature_id")), "kb_id").select("log_id", "signature_id")
+
+
+@query("flt23_criteria", _hits("any", "odd", "late", "who"))
+def _(spark, sf_dir):
+    return _annotated_with(spark, sf_dir)
+
+
+@query("flt25_chosen_signatures", _hits("any", "odd", "late"))
+def _(spark, sf_dir):
+    return _annotated_with(spark, sf_dir, only_ids=["odd"], only_tags=["t1"])
+
+
+@query("flt26_version", _hits("any", "odd", "who"))
+def _(spark, sf_dir):
+    return _annotated_with(spark, sf_dir, platform="ios", version="17.5")
+
+
+@query("flt27_reference_lines", """SELECT user_id AS tid, event_id AS timestamp_mach, CASE event_type WHEN 'click' THEN 'Log' WHEN 'view' THEN 'Activity' ELSE 'Log' END AS event_type, CASE WHEN event_id % 3 = 0 THEN 'Error' ELSE 'Default' END AS log_level, props AS message,
+    nullif(CASE WHEN event_id % 4 = 0 THEN '' ELSE 'net' END, '') AS subsystem, 'app' || user_id AS process, epoch_us(ts) * 1000 AS timestamp_unix_ns FROM events WHERE event_type <> 'error' AND event_id % 10 <> 0""")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "click", "logEvent").when(F.col("event_type") == "view", "activityCreateEvent").when(F.col("event_type") == "error", "timesyncEvent").otherwise("somethingNew")
+    o = F.struct(kind.alias("eventType"), F.col("event_id").alias("machTimestamp"), F.col("user_id").alias("threadID"), F.col("props").alias("eventMessage"), F.when(F.col("event_id") % 4 == 0, "").otherwise("net").alias("subsystem"), F.when(F.col("event_id") % 3 == 0, "Error").alias("messageType"),
+                 F.concat(F.lit("/usr/bin/app"), "user_id").alias("processImagePath"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS'+0000'").alias("timestamp"))
+    lines = e.select(F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.to_json(o)).alias("value"))
+    return compare.read_reference(lines).select("tid", "timestamp_mach", "event_type", "log_level", "message", "subsystem", "process", "timestamp_unix_ns")
+
+
+@query("jn08_range_many", "WITH r AS (SELECT o_orderkey AS lo, o_orderkey + o_custkey % 60 AS hi, o_orderpriority AS name FROM orders WHERE o_orderkey % 9 = 0) SELECT p_partkey, lo, name FROM part LEFT JOIN r ON p_partkey * 5 >= lo AND p_partkey * 5 < hi")
+def _(spark, sf_dir):
+    r = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + F.col("o_custkey") % 60).alias("hi"), F.col("o_orderpriority").alias("name"))
+    return clock.range_join(table(spark, sf_dir, "part"), r, [], F.col("p_partkey") * 5, F.col("lo"), F.col("hi"), few=0).select("p_partkey", "lo", "name")
+
+
+@query("jn09_string_ranges", "SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_partkey - p_partkey < length(p_name) THEN substr(p_name, (l_partkey - p_partkey)::BIGINT + 1) ELSE '' END, '') AS template, coalesce(p_brand, '') AS library FROM lineitem LEFT JOIN part ON p_partkey % 6 = 0 AND l_partkey // 600 = p_partkey // 600 AND l_partkey >= p_partkey AND l_partkey < p_partkey + 4")
+def _(spark, sf_dir):
+    from ..sources.ingest import resolve_strings
+
+    part, uuid = table(spark, sf_dir, "part").filter("p_partkey % 6 = 0"), lambda c: F.concat(F.lit("U"), F.expr(f"cast({c} div 600 as string)"))
+    end = F.encode(F.concat("p_name", F.lit("\0")), "UTF-8")
+    strings = part.select(F.lit(1).cast("long").alias("src"), uuid("p_partkey").alias("uuid"), F.col("p_partkey").alias("low"), (F.col("p_partkey") + 4).alias("high"), F.lit(0).cast("long").alias("ordinal"), end.alias("string"), F.col("p_brand").alias("path"), F.lit("").alias("library"))
+    e = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", uuid("l_partkey").alias("ref_uuid"), F.col("l_partkey").alias("ref_at"), F.lit("").alias("process_uuid"), F.lit(False).alias("dynamic"), F.array().cast("array<string>").alias("items"))
+    return resolve_strings(e, strings).select("l_orderkey", "l_linenumber", "template", "library")
+
+
+@query("jn11_oversize", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber IN (1, 2) AND o_custkey % 3 > 0 THEN o_orderpriority ELSE l_returnflag END AS item FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+def _(spark, sf_dir):
+    from ..sources.ingest import replace_oversize
+
+    none = F.lit(None).cast("string")
+    e = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(4).alias("kind"), F.col("l_orderkey").alias("first"), F.lit(9).cast("long").alias("second"), F.when(F.col("l_linenumber") < 3, 7).otherwise(0).cast("long").alias("data_ref"), F.array("l_returnflag").alias("items"), none.alias("raw"))
+    nth = F.explode(F.sequence(F.lit(1), (F.col("o_custkey") % 3).cast("int") + 1)).alias("seq")  # the last of several counts; one in three is empty, which replaces nothing
+    parsed = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("first"), nth)
+    last = F.col("seq") == F.col("o_custkey") % 3 + 1
+    items = F.when(F.col("o_custkey") % 3 == 0, F.array().cast("array<string>")).when(last, F.array("o_orderpriority")).otherwise(F.array(F.lit("earlier")))
+    parsed = parsed.select(F.lit("oversize").alias("what"), "first", F.lit(9).cast("long").alias("second"), F.lit(7).cast("long").alias("data_ref"), items.alias("items"), none.alias("raw"), F.lit(1).alias("file_id"), F.lit(0).alias("chunkset"), "seq")
+    return replace_oversize(e, parsed).select("l_orderkey", "l_linenumber", F.col("items")[0].alias("item"))
+
+
+@query("jn20_annotations_of_a_log", _WITH_KB + " SELECT log_id, signature_id, action FROM ann JOIN kb USING (kb_id) WHERE log_id = (SELECT max(log_id) FROM ann GROUP BY log_id HAVING count(*) > 1 ORDER BY 1 DESC LIMIT 1)")
+def _(spark, sf_dir):
+    rows = logs(spark, sf_dir)
+    signatures, annotations = kb(spark, rows)
+    log_id = annotations.groupBy("log_id").count().filter("count > 1").agg(F.max("log_id")).first()[0]
+    return LogStore(rows, signatures, annotations).annotations_for(log_id).select("log_id", "signature_id", "action")
+
+
+@query("jn21_labels", _WITH_KB + " SELECT signature_id, category AS label, count(*) AS n FROM ann JOIN kb USING (kb_id) JOIN logs ON id = log_id GROUP BY ALL")
+def _(spark, sf_dir):
+    rows = logs(spark, sf_dir)
+    signatures, annotations = kb(spark, rows)
+    values = annotations.join(rows.select(F.col("id").alias("log_id"), F.col("category").alias("label"), F.col("process").alias("value")), "log_id")
+    return LogStore(rows, signatures, annotations, values).label_table()
+
+
+@query("ag06_top_values", f"WITH {SQL_LOGS}, f AS (" + " UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value, count(*) AS n FROM logs WHERE {c} IS NOT NULL GROUP BY {c}" for c in summary.FACETS) + "), r AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS r FROM f) SELECT facet, value, n, r FROM r WHERE r <= CASE facet WHEN 'log_level' THEN 5 ELSE 3 END")
+def _(spark, sf_dir):
+    return summary.top_facets(logs(spark, sf_dir), 3)
+
+
+_WIDTHS = "(1), (2), (5), (10), (15), (30), (60), (120), (300), (600), (900), (1800), (3600), (7200), (21600), (43200), (86400), (172800), (604800)"
+
+
+@query("ag12_default_width", f"""WITH {SQL_LOGS}, m AS (SELECT min(timestamp_unix_ns) AS lo, max(timestamp_unix_ns) AS hi FROM logs WHERE timestamp_unix_ns > 0), w AS (SELECT min(s) * 1000000000::BIGINT AS w FROM (VALUES {_WIDTHS}) t(s), m WHERE s * 1000000000::BIGINT >= (hi - lo) / 100.0),
+    c AS (SELECT (timestamp_unix_ns - lo) // w AS bucket, count(*) AS n FROM logs, m, w WHERE timestamp_unix_ns > 0 GROUP BY 1) SELECT b.bucket, lo + b.bucket * w AS start_ns, coalesce(n, 0) AS total, 0::BIGINT AS annotated FROM (SELECT unnest(range(0, (hi - lo) // w + 1)) AS bucket, lo, w FROM m, w) b LEFT JOIN c USING (bucket)""")
+def _(spark, sf_dir):
+    return summary.histogram(logs(spark, sf_dir), target=100)
+
+
+@query("ag19_most_missing_formats", _SIDES + " SELECT message_format_string AS format, count(*) AS n FROM ref WHERE id % 5 = 0 GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3")
+def _(spark, sf_dir):
+    return compare.most_missing(_outer(spark, sf_dir), 3, by="format")
+
+
+@query("ag21_annotation_state", _WITH_KB + " SELECT (SELECT count(DISTINCT log_id) FROM ann) AS annotated_logs, count(*) AS signatures, max(signature_id) AS applied_at FROM kb")
+def _(spark, sf_dir):
+    from ..operators.annotate import annotation_state
+
+    signatures, annotations = kb(spark, logs(spark, sf_dir))
+    return annotation_state(signatures.withColumns({"kb_version": F.lit("1"), "applied_at": F.col("signature_id")}), annotations).select("annotated_logs", "signatures", "applied_at")
+
+
+@query("ag23_custody_totals", "SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'missing_hash' WHEN o_orderkey % 5 = 0 THEN 'missing_file' ELSE 'matched' END AS status, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    files = o.select(k.cast("string").alias("rel_path"), sc.content_digest(F.col("o_orderpriority")).alias("sha256"))
+    return compare.custody(files.withColumn("sha256", F.when(F.col("rel_path").cast("long") % 9 != 0, F.col("sha256"))), files.filter(F.col("rel_path").cast("long") % 5 != 0)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("sl02_limit_counts_logs", _WITH_KB + " SELECT l.id, list_sort(list(DISTINCT signature_id) FILTER (signature_id IS NOT NULL))::VARCHAR[] AS s, count(kb_id) > 1 AS several FROM (SELECT * FROM logs WHERE category = 'click' ORDER BY timestamp_unix_ns, id LIMIT 60) l LEFT JOIN ann ON log_id = l.id LEFT JOIN kb USING (kb_id) GROUP BY l.id")
+def _(spark, sf_dir):
+    rows = logs(spark, sf_dir)
+    signatures, annotations = kb(spark, rows)
+    values = annotations.select("log_id", "kb_id", F.lit("x").alias("label"), F.lit("y").alias("value"))
+    out = LogStore(rows, signatures, annotations, values).query(LogFilters(category="click"), 60)
+    return out.select("id", F.col("signature_ids").alias("s"), (F.size("signature_ids") > 1).alias("several"))
+
+
+@query("sf03_raw_and_utc", f"WITH {SQL_LOGS} SELECT id, timestamp_unix_ns::VARCHAR AS raw, CASE WHEN timestamp_unix_ns = 0 THEN '' ELSE strftime(make_timestamp(timestamp_unix_ns // 1000), '%Y-%m-%dT%H:%M:%S.%f') || '000Z' END AS utc FROM logs")
+def _(spark, sf_dir):
+    return logs(spark, sf_dir).select("id", sc.format_timestamp(F.col("timestamp_unix_ns"), "raw").alias("raw"), sc.format_timestamp(F.col("timestamp_unix_ns")).alias("utc"))
+
+
+@query("sf06_apple_times", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN epoch_us(date_trunc('second', ts)) - 7200000000 ELSE epoch_us(ts) END AS us FROM events")
+def _(spark, sf_dir):
+    t = F.col("ts").cast("timestamp")
+    text = F.when(F.col("event_id") % 5 == 0, F.lit("no time")).when(F.col("event_id") % 5 == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+0200'")).otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return table(spark, sf_dir, "events").select("event_id", sc.apple_timestamp_us(text).alias("us"))
+
+
+@query("sf07_int_or_zero", "SELECT event_id, coalesce(try_cast(trim(CASE event_id % 4 WHEN 0 THEN ' ' || event_id || ' ' WHEN 1 THEN 'x' || event_id WHEN 2 THEN NULL ELSE '-' || event_id END) AS BIGINT), 0) AS n FROM events")
+def _(spark, sf_dir):
+    k = F.col("event_id")
+    text = F.when(k % 4 == 0, F.concat(F.lit(" "), k, F.lit(" "))).when(k % 4 == 1, F.concat(F.lit("x"), k)).when(k % 4 == 3, F.concat(F.lit("-"), k))
+    return table(spark, sf_dir, "events").select("event_id", sc.int_or_zero(text).alias("n"))
+
+
+@query("sf13_process_name", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '[^/]*$') WHEN page_id % 3 = 1 THEN 'lib.so' ELSE 'U' || page_id END AS name FROM pages WHERE regexp_extract(url, '[^/]*$') <> ''")
+def _(spark, sf_dir):
+    k = F.col("page_id")
+    name = sc.process_name(F.when(k % 3 == 0, F.col("url")), F.when(k % 3 == 1, F.lit("/a/lib.so")).otherwise(F.lit("")), F.concat(F.lit("U"), k))
+    return table(spark, sf_dir, "pages").filter(sc.basename(F.col("url")) != "").select("page_id", name.alias("name"))
+
+
+@query("sf14_loss_message", "SELECT event_id, '<loss: ' || user_id || ' messages dropped [' || event_id || '–' || event_id + 5 || ']>' AS text FROM events")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", sc.loss_message(F.col("user_id"), F.col("event_id"), F.col("event_id") + 5).alias("text"))
+
+
+@query("sf16_messages", "SELECT event_id, event_type || ': ' || lpad(user_id::VARCHAR, 4, '0') || ' of ' || printf('%x', event_id::INTEGER) || ' 100% ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ' TCP <private> %d' AS text FROM events")
+def _(spark, sf_dir):
+    from ..functions.printf import message
+
+    template = F.lit("%{public}s: %04d of %x 100%% %{bool}d %{mdns:protocol}d %{private}@ %d")
+    items = F.array("event_type", F.col("user_id").cast("string"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "1").otherwise("0"), F.lit("2"), F.lit("<private>"))
+    return table(spark, sf_dir, "events").select("event_id", message(template, items).alias("text"))
+
+
+@query("sf24_signed", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN -event_id - 1 ELSE event_id END AS n FROM events")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", sc.signed64(F.hex(F.when(F.col("event_id") % 2 == 0, -F.col("event_id") - 1).otherwise(F.col("event_id")))).alias("n"))
+
+
+@query("sf27_version_of_build", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '17.0' WHEN 1 THEN '17.5.1' END AS version FROM events")
+def _(spark, sf_dir):
+    build = F.when(F.col("event_id") % 3 == 0, F.lit(" 21a329")).when(F.col("event_id") % 3 == 1, F.lit("21F90")).otherwise(F.lit("99Z9"))
+    return table(spark, sf_dir, "events").select("event_id", sc.ios_version(build).alias("version"))
+
+
+@query("sf33_version_range", "SELECT p_partkey, p_size >= 9 AND p_size <= 30 AS inside FROM part")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", sc.version_in_range(F.concat(F.lit("1."), F.col("p_size")), "1.9", "1.30").alias("inside"))
+
+
+@query("sf35_redacted", "SELECT c_custkey, 'owner ' || CASE c_name WHEN 'Customer#000000007' THEN '<redacted:' || substr(sha256(c_name), 1, 8) || '>' ELSE c_name END || ' in /Users/<user>/x' AS text FROM customer")
+def _(spark, sf_dir):
+    text = F.concat(F.lit("owner "), F.col("c_name"), F.lit(" in /Users/someone/x"))
+    return table(spark, sf_dir, "customer").select("c_custkey", sc.redact(text, ["Customer#000000007", ""]).alias("text"))

@@ -7,8 +7,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.query import LogStore
-from .schemas import STATUSES, VIEW
+from .operators.query import LogStore, read_surface
+from .schemas import STATUSES
 
 TABLES = ("logs", "source_files", "anchors", "boots", "shutdown_events", "shutdown_clients", "kb_signatures", "annotations", "extracted_values", "identified")
 
@@ -74,8 +74,7 @@ class CaseStore:
 
     def view(self, name: str = "v_logs") -> DataFrame:
         """Registers and returns the stable read surface."""
-        df = self.table("logs")
-        df = df.select(*[c for c in (*VIEW, "source_order", "event_order") if c in df.columns])
+        df = read_surface(self.table("logs"))
         df.createOrReplaceTempView(name)
         return df
 

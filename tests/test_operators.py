@@ -251,7 +251,7 @@ def test_tokens_of_all_documents(spark, tmp_path):
         plain = "".join(c for c in unicodedata.normalize("NFD", (text or "").lower()) if unicodedata.category(c) != "Mn")
         return len("".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in plain).split())
 
-    got = {r.doc_id: r.n for r in queries.QUERIES["set_tokens_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.n for r in queries.QUERIES["set_tokens"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t, _ in rows} and got[1] == 0 and got[5] == 2
 
 
@@ -270,3 +270,65 @@ def test_hidden_side_grows_with_the_table(spark, tmp_path):
     assert not noise and got == {i for i in shown if i % 3 != 1}
     counts = queries.QUERIES["ag13_identify_counts_growing"](spark, str(tmp_path)).first()
     assert (counts.retained, counts.hidden) == (len(got), len(shown) - len(got)) and max(i for i in shown if i % 3 == 1) > 500
+
+
+def test_search_of_a_comparison_is_literal_and_in_messages_only(spark, tmp_path):
+    rows = [(1, 1, "progress 100%_x", "p", 0, None, None), (2, 2, "progress 100 xx", "100%_x", 0, None, None), (3, 3, "100%_X too", None, 1, "", ""), (4, 4, None, "p", 0, None, None)]
+    found = diff.IdentifyResults(spark.createDataFrame(rows, "id long, timestamp_unix_ns long, message string, process string, excluded int, note string, signatures string"))
+    assert ids(found.rows(search="100%_x")) == [1] and ids(found.rows(search="100%_x", noise=True)) == [1, 3] and ids(found.rows(search="_")) == [1]
+    found.hide("progress 100 xx", "100%_x")
+    assert found.export_csv(str(tmp_path / "out.csv"), noise=True) == 3
+    lines = (tmp_path / "out.csv").read_text(encoding="utf-8-sig").splitlines()
+    assert lines[0] == "timestamp,timestamp_unix_ns,process,message,matched_signatures,note" and len(lines) == 4
+
+
+def test_default_widths():
+    assert [summary.bucket_ns(s * NS, 40) // NS for s in (1, 41, 560_000, 10**9)] == [1, 2, 21_600, 604_800]
+
+
+def test_registered_names_reach_the_executors(spark):
+    from logstrata.functions.printf import message, register_names
+
+    register_names("my:Kind", {"7": "seven"})
+    df = spark.createDataFrame([("%{my:kind}d", ["7"]), ("%{my:kind}d", ["8"])], "t string, i array<string>").repartition(2)
+    assert {r[0] for r in df.select(message(F.col("t"), F.col("i"))).collect()} == {"seven", "<decoded:my:kind:8>"}
+
+
+def test_ranges_in_cells_are_those_of_a_loop(spark):
+    rng = random.Random(8)
+    ranges = [(k, rng.choice("ab"), lo := rng.randint(-50, 400), None if k % 17 == 0 else lo + rng.choice([0, 1, 2, 3, 7, 64, 300])) for k in range(80)]
+    points = [(k, rng.choice("abc"), rng.randint(-60, 700)) for k in range(300)]
+    left, right = spark.createDataFrame(points, "i long, g string, x long"), spark.createDataFrame(ranges, "r long, g string, lo long, hi long")
+    for equal, closed in (([], False), ([], True), (["g"], False)):
+        for how in ("left", "inner"):
+            want = set()
+            for i, g, x in points:
+                met = {(i, r) for r, h, lo, hi in ranges if lo <= x and (hi is None or x < hi + closed) and (not equal or g == h)}
+                want |= met or ({(i, None)} if how == "left" else set())
+            for few in (0, 1000):
+                out = clock.range_join(left, right, equal, F.col("x"), F.col("lo"), F.col("hi"), closed, how, few)
+                got = [(r[0], r[3]) for r in out.collect()]
+                assert len(got) == len(set(got)) and set(got) == want, (equal, closed, how, few)
+
+
+def test_digests_do_not_hang_on_how_rows_are_dealt(spark):
+    rows = [(k, f"v{k % 7}") for k in range(500)]
+    one, two = spark.createDataFrame(rows, "k long, v string").coalesce(1), spark.createDataFrame(rows[::-1], "k long, v string").repartition(7)
+    assert compare.ordered_digest(one, ["k"], 64) == compare.ordered_digest(two, ["k"], 64) != compare.ordered_digest(two.filter("k > 0"), ["k"], 64)
+
+
+def test_numbers_and_running_totals(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randint(0, 9)) for k in range(300)]
+    df = spark.createDataFrame(rows[::-1] + [(None, 5)], "k long, w long").repartition(5)
+    got = sorted(((r.k is not None, r.k or 0), r.n, r.t) for r in ordering.running_total(ordering.numbered(df, ["k"], "n", first=1), ["k"], {"w": "t"}).collect())
+    assert [n for _, n, _ in got] == list(range(1, 302)) and [t for *_, t in got] == [0] + [5 + sum(w for _, w in rows[:k]) for k in range(300)]
+
+
+def test_signature_files_may_use_either_spelling():
+    raw = {"id": "x", "action": "a", "description": "d", "match": {"format_str": "f"}}
+    s = build_signature(raw | {"status": "draft", "extract_regex": "(?P<a>x)", "extract_fields": {"b": "y"}}, "f")
+    assert (s.status, s.extract_regex, s.extract_fields, s.labels) == ("draft", "(?P<a>x)", (("b", "y"),), ["a", "b"]) and build_signature(raw, "f").status == "validated"
+    assert build_signature(raw | {"extract-regex": "(?P<a>x)", "extract_regex": "(?P<z>x)"}, "f").labels == ["a"]
+    with pytest.raises(KnowledgeBaseError):
+        build_signature(raw | {"status": "new"}, "f")
