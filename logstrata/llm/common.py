@@ -1,64 +1,23 @@
-"""What the corpus operators share: table access, shared scratch space, white space."""
+"""What the corpus operators share: table access, scratch tables, white space."""
 
 from __future__ import annotations
 
-import tempfile
-import time
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import BROADCAST_ROWS, drop, drop_all, shared_dir, small, written
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "drop", "drop_all", "n_words", "one_spaced", "shared_dir", "small", "table", "written"]
+
 #: ASCII white space as every operator here means it, and its complement.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows up to which a narrow key table (at most about 100 bytes a row) may be broadcast.
-BROADCAST_ROWS = 500_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a session in one local JVM may do without it; it then gets a folder of
-    its own, once.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="logstrata-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors,
-    and fixes what a rerun of a task could otherwise deal out differently."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files go once the driver's JVM has collected the plan they belong to, which it would not do
-    # for long by itself. The first collection lets go of the query, the second of its shuffles.
-    for _ in range(2):
-        time.sleep(0.2)
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, for a
-    shuffled join whose skewed partitions adaptive execution splits. ``df`` is a written table."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def one_spaced(text: Column) -> Column:
     """The text, null as empty, with every run of ASCII white space as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " ")

@@ -5,20 +5,16 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker keeps; then it starts anew.
-KNOWN = 300_000
+from .workers import Recent
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash, remembered."""
+class WordHashes(Recent):
+    """Word (bytes) to its 64-bit hash."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    def __init__(self, make=xxhash.xxh3_64_intdigest):
+        super().__init__(make)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
