@@ -31,14 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 from .shingles import WordHashes, ngrams, split_words
+from .workers import lean, values
 
 WINDOW = 13
 #: Words in the n-grams among which minimizers are chosen.
 GRAM = 4
-#: Segments of one minimizer above which its windows travel one by one.
+#: Documents with one minimizer above which its windows travel one by one.
 CROWDED = 20_000
+#: Windows in a segment; a longer run of one minimizer, as in a text of one word, is several segments.
+LONGEST = 512
 
 _LAST = 2**63 - 1
 
@@ -99,9 +102,8 @@ class SuffixAutomaton:
 class MarkedHashes(WordHashes):
     """Word hashes whose lowest bit says whether the word is short."""
 
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = super().__missing__(word) & ~1 | (len(word) < 4)
-        return h
+    def __init__(self):
+        super().__init__(lambda word: xxhash.xxh3_64_intdigest(word) & ~1 | (len(word) < 4))
 
 
 def minimizers(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -134,7 +136,7 @@ def _keys(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = MarkedHashes()
         for batch in batches:
-            found = [np.unique(_windows(t, known, window, gram)[1]) for t in batch.column(2).to_pylist()]
+            found = [np.unique(_windows(t, known, window, gram)[1]) for t in values(batch.column(2))]
             sizes = [len(f) for f in found]
             for lo in range(0, len(found), 200):  # keeps the batches that go back of a size that the JVM takes lightly
                 part, n = found[lo : lo + 200], sizes[lo : lo + 200]
@@ -143,7 +145,7 @@ def _keys(window: int, gram: int):
                     names=["mini", "doc", "tag"],
                 )
 
-    return run
+    return lean(run)
 
 
 def _segments(window: int, gram: int):
@@ -153,7 +155,7 @@ def _segments(window: int, gram: int):
         known = MarkedHashes()
         for batch in batches:
             out: list[tuple] = []
-            for doc, total, text, minis, crowded in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for doc, total, text, minis, crowded in zip(*(values(batch.column(k)) for k in range(5))):
                 words, least = _windows(text, known, window, gram)
                 if not len(least):
                     continue
@@ -167,15 +169,17 @@ def _segments(window: int, gram: int):
                             content = b" ".join(words[k : k + window])
                             out.append((xxhash.xxh3_64_intdigest(content) - 2**63, doc, total, k, 1, xxhash.xxh3_128_digest(content), content))
                     else:
-                        content = b" ".join(words[start : end + window - 1])
-                        out.append((mini, doc, total, start, end - start, xxhash.xxh3_128_digest(content), content))
+                        for lo in range(start, end, LONGEST):
+                            hi = min(end, lo + LONGEST)
+                            content = b" ".join(words[lo : hi + window - 1])
+                            out.append((mini, doc, total, lo, hi - lo, xxhash.xxh3_128_digest(content), content))
                 if len(out) > 5_000:
                     yield _batch(out)
                     out = []
             if out:
                 yield _batch(out)
 
-    return run
+    return lean(run)
 
 
 _SEGMENT = "key long, doc long, sum long, start int, n int, hash binary, content binary"
@@ -196,7 +200,7 @@ def _match(window: int):
         waiting: list[list[bytes]] = []  # of this key and this document, not yet in the automaton
         for batch in batches:
             out = []
-            for key, first, digest, content in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for key, first, digest, content in zip(*(values(batch.column(k)) for k in range(4))):
                 if key != now:
                     now, first_now, automaton, waiting = key, first, None, []
                 elif first != first_now:
@@ -223,14 +227,14 @@ def _match(window: int):
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "hash", "first", "spans"])
 
-    return run
+    return lean(run)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, spans: from and to alternating) to what is kept."""
     for batch in batches:
         out = []
-        for doc_id, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for doc_id, text, spans in zip(*(values(batch.column(k)) for k in range(3))):
             words = split_words(text)
             keep = words
             if spans:
@@ -263,6 +267,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
     wanted = written(wanted, "wanted")
     rows = base.select("doc", F.col("sum").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("tag"), "sum", "text").join(wanted, ["doc", "tag"])
     segments = written(rows.select("doc", "sum", "text", "minis", "crowded").mapInArrow(_segments(window, gram), _SEGMENT), "segments")
+    drop(shared, wanted)
 
     references = segments.groupBy("key", "hash").agg(F.min("doc").alias("first"), F.first("content").alias("content"))
     references = references.repartition("key").sortWithinPartitions("key", "first").select("key", "first", "hash", "content")
@@ -271,8 +276,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
     inner = F.transform("spans", lambda s, i: F.col("start") + s + F.when(i % 2 == 1, F.lit(window - 1)).otherwise(F.lit(0)))
     met = met.select("doc", "sum", F.when(F.col("doc") > F.col("first"), F.array(F.col("start"), F.col("start") + F.col("n") + (window - 1))).otherwise(inner).alias("spans"))
     spans = written(met.groupBy("doc", "sum").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    drop(segments, matched)
     left = base.join(spans, (base["doc"] == spans["doc"]) & base["sum"].eqNullSafe(spans["sum"]), "left").select("doc_id", "text", "spans")
-    return left.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return left.mapInArrow(lean(_cut), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(out: DataFrame) -> DataFrame:
