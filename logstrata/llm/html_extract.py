@@ -6,10 +6,12 @@ bidirectional LSTM reads the sequence, so each block is judged with the whole pa
 around it, and a logistic layer says whether it belongs to the article.
 
 There are no labelled pages. Training material is a bounded sample of the pages themselves
-(``MOST_PAGES`` with the least hash of page_id, each of at most ``MOST_CHARS``
-characters), labelled where the markup says so (article or main elements against menus
+(``MOST_PAGES`` of those of at most ``MOST_CHARS`` characters, with the least hash of
+page_id), labelled where the markup says so (article or main elements against menus
 and the like), and pages composed from the sample's blocks in varied layouts,
-whose labels are known by construction. Extraction reads every whole page.
+whose labels are known by construction. Extraction reads every whole page, in time in
+proportion to its length however deep its elements nest: what a block needs of its path is
+kept with each open element, made from that of the element around it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import STEP, lean
+
 MOST_PAGES, MOST_CHARS, COMPOSED = 300, 100_000, 800
 PATH_DIMS, WORD_DIMS, HIDDEN = 64, 24, 20
 
@@ -43,36 +47,105 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 _BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "body": set()}
 
 
-@dataclass
+#: What a tag counts for from one element to the one within it.
+FADE = 0.8
+
+
+class Open:
+    """An open element, with what its path from the root comes to."""
+
+    __slots__ = ("tag", "path", "told", "head", "heading")
+
+    def __init__(self, tag: str, names: tuple[str, ...], around: Open | None):
+        self.tag = tag
+        self.path = path = np.zeros(2 * PATH_DIMS, np.float32) if around is None else around.path.copy()
+        path[:PATH_DIMS] *= FADE
+        k, s = _slot("t:" + tag, PATH_DIMS)
+        path[k] += s
+        for name in names:
+            k, s = _slot("n:" + name, PATH_DIMS)
+            path[PATH_DIMS + k] += s
+        self.told = told(tag, names, around.told if around else None)
+        self.head = tag in ("head", "title") or around is not None and around.head
+        self.heading = tag[0] == "h" and tag[1:].isdigit() or around is not None and around.heading
+
+
 class Block:
-    text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
-    linked: int = 0
+    """A leaf block: its text, the element it stands in (None at the root), and how many of its characters are links."""
+
+    __slots__ = ("text", "within", "linked")
+
+    def __init__(self, text: str, within: Open | None, linked: int = 0):
+        self.text, self.within, self.linked = text, within, linked
+
+
+class _Stack:
+    """The open elements, and where in the stack those of each tag stand."""
+
+    def __init__(self):
+        self.open: list[Open] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        k = len(self.open)
+        self.open.append(Open(tag, names, self.open[-1] if k else None))
+        self.at.setdefault(tag, []).append(k)
+        if tag in BLOCK:
+            self.blocks.append(k)
+
+    def top(self, tag: str) -> int:
+        found = self.at.get(tag)
+        return found[-1] if found else -1
+
+    def cut(self, k: int) -> None:
+        """Closes the element at ``k`` and all within it."""
+        for element in reversed(self.open[k:]):
+            self.at[element.tag].pop()
+        del self.open[k:]
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+
+    def make_room(self, tag: str) -> None:
+        """Closes what the start of a block element closes: an open paragraph, and items of its own kind."""
+        closes = CLOSES.get(tag, ())
+        for k in reversed(self.blocks):
+            if self.open[k].tag == "p":  # any block ends a paragraph
+                self.cut(k)
+                break
+            if self.open[k].tag not in closes:
+                break
+        if closes:
+            k = max(map(self.top, closes))
+            if k >= 0 and k > max(map(self.top, _BOUNDS[tag]), default=-1):
+                self.cut(k)
 
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order: no empty ones, white space as single spaces, references decoded."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     parts: list[str] = []
-    state = {"linked": 0}
+    linked = at = 0
 
     def close() -> None:
+        nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                out.append(Block(text, tuple(stack), min(state["linked"], len(text))))
+            within = stack.open[-1] if stack.open else None
+            if text and not (within and within.head):
+                out.append(Block(text, within, min(linked, len(text))))
             parts.clear()
-        state["linked"] = 0
+        linked = 0
 
     def add(raw: str) -> None:
+        nonlocal linked
         if raw:
             parts.append(raw)
-            if any(t == "a" for t, _ in stack):
-                state["linked"] += len(raw.strip())
+            if stack.top("a") >= 0:
+                linked += len(raw.strip())
 
-    at = 0
     while True:
         m = _TOKEN.search(page, at)
         if not m:
@@ -87,10 +160,8 @@ def blocks(page: str | None) -> list[Block]:
         if end:
             if tag in BLOCK:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if (k := stack.top(tag)) >= 0:
+                stack.cut(k)
             continue
         if tag in _RAW:
             if not attributes.rstrip().endswith("/"):
@@ -99,61 +170,54 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in BLOCK:
             close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":  # any block ends a paragraph
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK and stack[k][0] not in CLOSES.get(tag, ()):
-                    break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _BOUNDS.get(tag, ()):
-                    break
-                if stack[k][0] in CLOSES.get(tag, ()):
-                    del stack[k:]
-                    break
+            stack.make_room(tag)
         elif tag == "br":
             parts.append(" ")
         if tag not in VOID:
             names = [n for g in _NAMES.findall(attributes) for n in g if n] if attributes else []
-            stack.append((tag, tuple(p.lower() for n in names for p in _PARTS.findall(n))))
+            stack.push(tag, tuple(p.lower() for n in names for p in _PARTS.findall(n)))
     close()
-    return [b for b in out if not any(t in ("head", "title") for t, _ in b.path)]
+    return out
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=4_096)
 def _slot(token: str, dims: int) -> tuple[int, float]:
     h = zlib.crc32(token.encode())
     return h % dims, 1.0 if h >> 16 & 1 else -1.0
 
 
 FEATURES = 2 * PATH_DIMS + WORD_DIMS + 10
-
-
-def vectors(page: list[Block]) -> np.ndarray:
-    """A row for each block, of all its words and characters."""
-    out = np.zeros((len(page), FEATURES), np.float32)
-    total = sum(len(b.text) for b in page) or 1
-    seen = 0
-    for i, b in enumerate(page):
-        x, n = out[i], len(b.text)
-        for depth, (tag, names) in enumerate(reversed(b.path)):
-            k, s = _slot("t:" + tag, PATH_DIMS)
-            x[k] += s / (1 + 0.15 * depth)
-            for name in names:
-                k, s = _slot("n:" + name, PATH_DIMS)
-                x[PATH_DIMS + k] += s
+#: Blocks of a page whose vectors stand in memory at one time.
+CHUNK = 4_096
+
+
+def vectors(page: list[Block], lo: int = 0, hi: int | None = None, starts: np.ndarray | None = None) -> np.ndarray:
+    """A row for each block of page[lo:hi], of all its words and characters. ``starts``: :func:`text_starts` of the page."""
+    starts = text_starts(page) if starts is None else starts
+    hi = len(page) if hi is None else hi
+    out = np.zeros((hi - lo, FEATURES), np.float32)
+    total = int(starts[-1]) or 1
+    for x, i in zip(out, range(lo, hi)):
+        b = page[i]
+        n = len(b.text)
+        if b.within is not None:
+            x[: 2 * PATH_DIMS] = b.within.path
         words = b.text.split()
         for w in words:
             k, s = _slot("w:" + w.lower(), WORD_DIMS)
             x[2 * PATH_DIMS + k] += s / len(words)
         x[-10:] = (
             np.log1p(n) / 5, b.linked / n, sum(c in ".,;!?" for c in b.text) / n * 10, sum(c.isdigit() for c in b.text) / n, sum(c.isupper() for c in b.text) / n,
-            b.text[-1] in ".!?…\"”»", i / len(page), seen / total, min(1.0, np.log1p(len(page)) / 5), n / total,
+            b.text[-1] in ".!?…\"”»", i / len(page), starts[i] / total, min(1.0, np.log1p(len(page)) / 5), n / total,
         )
-        seen += n
     return out
 
 
+def text_starts(page: list[Block]) -> np.ndarray:
+    """How many characters of text stand before each block, and at the end all of them."""
+    return np.cumsum([0, *(len(b.text) for b in page)])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -171,6 +235,7 @@ class BlockLabeller:
             self.p["c" + d] = np.r_[np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)]
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str):
+        """The states of one direction, and what backpropagation needs of each step."""
         steps, many, h = x.shape[0], x.shape[1], self.hidden
         pre = x @ self.p["W" + d] + self.p["c" + d]
         state, cell = np.zeros((many, h)), np.zeros((many, h))
@@ -210,13 +275,39 @@ class BlockLabeller:
             x[: len(p), k], mask[: len(p), k] = p, 1
         return x, mask
 
+    def _votes(self, x: np.ndarray, mask: np.ndarray, d: str, state: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What one direction adds to the output of each block, and its last state and cell. Keeps nothing of a step."""
+        h, o = self.hidden, self.p["o"][: self.hidden] if d == "f" else self.p["o"][self.hidden :]
+        pre = x @ self.p["W" + d] + self.p["c" + d]
+        out = np.zeros(mask.shape)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            z = pre[t] + state @ self.p["R" + d]
+            gates = _sigmoid(z[:, : 3 * h])
+            after = gates[:, h : 2 * h] * cell + gates[:, :h] * np.tanh(z[:, 3 * h :])
+            m = mask[t][:, None]
+            state, cell = m * (gates[:, 2 * h :] * np.tanh(after)) + (1 - m) * state, m * after + (1 - m) * cell
+            out[t] = state @ o
+        return out, state, cell
+
     def predict(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Chances for the blocks of each page; pages have at least one block."""
         x, mask = self.padded(pages)
-        both = np.concatenate([self._run(x, mask, "f")[0], self._run(x, mask, "b")[0]], axis=2)
-        s = _sigmoid(both @ self.p["o"] + self.p["oc"])
+        zero = np.zeros((len(pages), self.hidden))
+        s = _sigmoid(self._votes(x, mask, "f", zero, zero)[0] + self._votes(x, mask, "b", zero, zero)[0] + self.p["oc"])
         return [s[: len(p), k] for k, p in enumerate(pages)]
 
+    def predict_long(self, page: list[Block], chunk: int = CHUNK) -> np.ndarray:
+        """Chances for the blocks of one page of any length: its vectors are made chunk by chunk, on the way there and on the way back."""
+        starts, total = text_starts(page), np.zeros(len(page))
+        cuts = [(lo, min(lo + chunk, len(page))) for lo in range(0, len(page), chunk)]
+        for d, order in (("f", cuts), ("b", cuts[::-1])):
+            state = cell = np.zeros((1, self.hidden))
+            for lo, hi in order:
+                x = vectors(page, lo, hi, starts).astype(float)[:, None]
+                votes, state, cell = self._votes(x, np.ones((hi - lo, 1)), d, state, cell)
+                total[lo:hi] += votes[:, 0]
+        return _sigmoid(total + self.p["oc"])
+
     def loss_and_gradients(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
         x, mask = self.padded(pages)
         y = np.zeros(mask.shape)
@@ -265,23 +356,24 @@ OTHER_TAGS = set("nav header footer aside form button select option label menu d
 OTHER_NAMES = set("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie copyright disclaimer footer header login menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 
 
+def told(tag: str, names: tuple[str, ...], around: bool | None) -> bool | None:
+    """What markup says of an element within one of which it says ``around``: main text (True), something else (False, with all within it), or nothing (None)."""
+    if around is False or tag in OTHER_TAGS and not (tag == "header" and around):
+        return False
+    if tag not in ("html", "body") and any(n in OTHER_NAMES for n in names):
+        return False
+    return True if tag in MAIN_TAGS else around
+
+
 def said(block: Block) -> bool | None:
     """Whether the markup calls a block main text (True) or something else (False); None where it says nothing."""
-    inside = None
-    for depth, (tag, names) in enumerate(block.path):
-        if tag in MAIN_TAGS:
-            inside = True
-        elif tag in OTHER_TAGS and not (tag == "header" and inside):
-            return False
-        if tag not in ("html", "body") and any(n in OTHER_NAMES for n in names):
-            return False
-    return inside
+    return block.within.told if block.within else None
 
 
 def weak_labels(page: list[Block]) -> np.ndarray | None:
     """Labels of a page that has an article or main element; None for others."""
-    told = [said(b) for b in page]
-    return np.array([t is True for t in told], float) if any(told) else None
+    marks = [said(b) for b in page]
+    return np.array([m is True for m in marks], float) if any(marks) else None
 
 
 @dataclass
@@ -298,8 +390,8 @@ def material(pages: list[list[Block]]) -> Material:
     out = Material()
     for page in pages:
         for b in page:
-            heading = any(t[0] == "h" and t[1:].isdigit() for t, _ in b.path)
-            kind = out.titles if heading else out.links if b.linked * 2 > len(b.text) else out.prose if len(b.text) > 60 or b.path and b.path[-1][0] == "p" else out.notes
+            heading, paragraph = (b.within.heading, b.within.tag == "p") if b.within else (False, False)
+            kind = out.titles if heading else out.links if b.linked * 2 > len(b.text) else out.prose if len(b.text) > 60 or paragraph else out.notes
             kind.append(b.text)
     fill = ["Read more", "The day was long and the road went on.", "Home", "About us"]
     for name in ("prose", "titles", "links", "notes"):
@@ -421,14 +513,18 @@ def labels_of(page: list[Block], main: list[str]) -> np.ndarray:
 def train(pages: DataFrame, most: int = MOST_PAGES, composed: int = COMPOSED, seed: int = 13) -> BlockLabeller:
     """A labeller from a bounded sample of ``pages`` (page_id, html) and pages composed from it."""
     usable = pages.select("page_id", F.col("html").cast("string").alias("html")).filter(F.length("html") <= MOST_CHARS)
-    sample = [r["html"] for r in usable.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(most).collect()]
+    marked = usable.select("page_id", F.xxhash64("html").alias("sum"), "html")
+    # which pages is settled on their ids and checksums alone; then only those pages come here, each once
+    chosen = F.broadcast(marked.select(F.col("page_id").alias("id"), F.col("sum").alias("s")).distinct().orderBy(F.xxhash64("id"), "id", "s").limit(most))
+    fetched = marked.join(chosen, marked["page_id"].eqNullSafe(chosen["id"]) & (marked["sum"] == chosen["s"])).groupBy("id", "s").agg(F.min("html").alias("html"))
+    sample = [r["html"] for r in fetched.orderBy(F.xxhash64("id"), "id", "s").collect()]
     found = [b for b in map(blocks, sample) if b]
     x, y = [], []
     for page in found:
-        told = weak_labels(page)
-        if told is not None:
+        labels = weak_labels(page)
+        if labels is not None:
             x.append(vectors(page))
-            y.append(told)
+            y.append(labels)
     rng, stuff = random.Random(seed), material(found)
     for _ in range(composed):
         text, main = compose(rng, stuff)
@@ -452,17 +548,20 @@ def extract(pages: DataFrame, model: BlockLabeller | None = None, at_once: int =
     model = model or train(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole, lo in ((b, k) for b in batches for k in range(0, b.num_rows, STEP)):
+            batch = whole.slice(lo, STEP)
             found = [blocks(h) for h in batch.column(2).to_pylist()]
             texts = [""] * len(found)
             order = sorted((i for i in range(len(found)) if found[i]), key=lambda i: len(found[i]))
             at = 0
             while at < len(order):
-                # like lengths together, so little is padding; long pages in smaller groups
-                part = order[at : at + max(1, min(at_once, 20_000 // len(found[order[min(at + at_once, len(order)) - 1]])))]
+                # like lengths together, so little is padding; long pages in smaller groups, very long ones alone
+                part = order[at : at + max(1, min(at_once, CHUNK * 4 // len(found[order[min(at + at_once, len(order)) - 1]])))]
                 at += len(part)
-                for i, chances in zip(part, model.predict([vectors(found[i]) for i in part])):
+                longest = len(found[part[-1]])
+                judged = model.predict([vectors(found[i]) for i in part]) if longest <= CHUNK else [model.predict_long(found[i]) for i in part]
+                for i, chances in zip(part, judged):
                     texts[i] = "\n\n".join(b.text for b, c in zip(found[i], chances) if c >= 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return source.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
