@@ -17,7 +17,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,9 @@ from tokenizers import Tokenizer
 
 from .common import written
 from .token_counts import byte_symbols
+from .workers import Recent, lean, values
 
 CAPACITY = 4096
-#: Words whose ids a worker keeps; then it starts anew.
-KNOWN = 300_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,8 +38,8 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class WordIds(dict):
-    """A word (bytes without ASCII white space) to its ids as little-endian unsigned 32-bit bytes, remembered.
+class WordIds(Recent):
+    """A word (bytes without ASCII white space) to its ids as little-endian unsigned 32-bit bytes.
 
     Words of Latin letters are lowered and cut into pre-tokens here and only
     the merges are left to the library, each distinct pre-token once. Any other word (other
@@ -49,36 +47,30 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
+        super().__init__(self._ids)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.merge = self.tokenizer.model.tokenize
         self.cut = regex.compile(PRE_TOKEN).findall
         self.latin = regex.compile(r"[!-~¡-\u024f]+").fullmatch
-        self.symbols = {b: c for b, c in byte_symbols().items()}
-        self.parts: dict[str, bytes] = {}
+        self.symbols = byte_symbols()
+        self.parts = Recent(self._part)
 
     def _part(self, part: str) -> bytes:
-        if len(self.parts) >= KNOWN:
-            self.parts.clear()
         symbols = part if part.isascii() else "".join(map(self.symbols.__getitem__, part.encode()))
-        out = self.parts[part] = struct.pack(f"<{len(t := self.merge(symbols))}I", *[x.id for x in t])
-        return out
+        return struct.pack(f"<{len(t := self.merge(symbols))}I", *[x.id for x in t])
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KNOWN:
-            self.clear()
+    def _ids(self, word: bytes) -> bytes:
         text = word.decode()
         if self.latin(text) and "<|" not in text:
             lower = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
-            parts = self.parts
-            out = b"".join([parts[p] if p in parts else self._part(p) for p in self.cut(lower)])
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) < 64:
-            self[word] = out
-        return out
+            return b"".join(map(self.parts.__getitem__, self.cut(lower)))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: bytes) -> bytes:
+        return super().__missing__(word) if len(word) < 64 else self._ids(word)
 
     def encode(self, text: str) -> bytes:
         """This tokenizer drops white space and no pre-token of it spans any, so the ids of a
@@ -86,28 +78,22 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """A function from a text to its ids as bytes; made once in each worker."""
-    return WordIds(path).encode
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each row's ids, then ``end_id``, cut every ``capacity`` ids."""
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = WordIds(tokenizer_path).encode
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(values(batch.column(0)), values(batch.column(1))):
                 ids = encode(text or "") + end
                 out += [(doc_id, i, i * capacity, len(p) // 4, zlib.crc32(p)) for i, p in enumerate(ids[k : k + width] for k in range(0, len(ids), width))]
             cols = list(zip(*out)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), _PIECES)
 
 
 @dataclass

@@ -7,8 +7,7 @@ weighted mean of the encodings is scored. All weights are learned together from
 labels of documents; no passage has a label.
 
 Training takes at most ``MOST_DOCUMENTS`` labelled rows, those with the least hash of
-doc_id, and from each at most ``MOST_PASSAGES`` passages spread over the text. Scoring
-encodes every passage of every text.
+doc_id, each with all its passages. Scoring encodes every passage of every text.
 """
 
 from __future__ import annotations
@@ -17,12 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import WordHashes
+from .workers import lean, values
+
 PASSAGE = 48
-MOST_DOCUMENTS, MOST_PASSAGES = 6_000, 128
+#: Labelled rows that a model is trained on, at most.
+MOST_DOCUMENTS = 6_000
 THRESHOLD = 0.7
 BUCKETS = 32
 
@@ -42,17 +44,8 @@ def _class_table() -> np.ndarray:
 class Encoder:
     """Text to a matrix with a row of features for each passage; an empty text is one passage of zeros."""
 
-    def __init__(self, most_words_known: int = 300_000):
-        self.table, self.known, self.most = _class_table(), {}, most_words_known
-
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    def __init__(self):
+        self.table, self.known = _class_table(), WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         raw = (text or "").encode()
@@ -72,7 +65,7 @@ class Encoder:
         out[:, :N_CLASSES] = counts / counts.sum(axis=1, keepdims=True)
         sizes = np.fromiter(map(len, words), np.float64, len(words))
         many = np.bincount(of_word, minlength=n)
-        h = self._hashes(words)
+        h = self.known.of(words)
         mean = np.bincount(of_word, sizes, n) / many
         out[:, N_CLASSES] = mean / 10
         out[:, N_CLASSES + 1] = np.bincount(of_word, sizes <= 3, n) / many
@@ -152,24 +145,25 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS, most_passages: int = MOST_PASSAGES):
-    """A model from rows whose remainder is not 2, or the share of label 1 (0.5 without labels) where fewer than two classes are there."""
-    rows = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder(F.col("doc_id")) != 2)).dropDuplicates(["doc_id"])
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS):
+    """A model from rows whose remainder is not 2, or the share of label 1 (0.5 without labels) where fewer than two classes are there.
+
+    A doc_id with labels of both classes is left out. Of rows of ``docs`` that repeat a
+    doc_id the one with the least text is taken.
+    """
+    rows = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder(F.col("doc_id")) != 2))
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").select("doc_id", "y")
     chosen = F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder()
         for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                x = encode(text)
-                if len(x) > most_passages:
-                    x = x[np.linspace(0, len(x) - 1, most_passages).astype(int)]
-                out.append(x.astype(np.float32).tobytes())
+            out = [encode(text).astype(np.float32).tobytes() for text in values(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "y", "x"])
 
-    source = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    found = source.join(chosen, "doc_id").select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(run, "doc_id long, y int, x binary").orderBy("doc_id", "x").limit(2 * most).collect()
+    source = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    given = source.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    found = sorted(given.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(lean(run), "doc_id long, y int, x binary").collect())
     y = np.array([r.y for r in found], float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -187,15 +181,14 @@ def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
             if isinstance(model, float):
-                scores = [model] * len(texts)
+                scores = [model] * batch.num_rows
             else:
-                scores = [float(model.score([encode(t).astype(np.float64)])[0]) for t in texts]
+                scores = [float(model.score([encode(t).astype(np.float64)])[0]) for t in values(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=[*names, "score"])
 
     read = docs.select(*given) if at < len(keep) else docs.select(*given, docs["text"].cast("string").alias("_text"))
-    out = read.mapInArrow(run, ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), "score double"]))
+    out = read.mapInArrow(lean(run), ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), "score double"]))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "score")
 
 
@@ -206,7 +199,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
     read; a score depends on the text alone. Null and empty texts are one
     passage of zeros. A null doc_id is not held out and never trained on. Rows that
     repeat a doc_id are scored each for itself. Labels other than 0 and 1 are
-    left out. Without labels of both classes each score is the share of label 1,
+    left out, as is a doc_id that has both. Without labels of both classes each score is the share of label 1,
     or 0.5.
     """
     model = train(docs, labels, **bounds)

@@ -1,6 +1,6 @@
 """Token counts with a whole-token shortcut.
 
-Before counting, the vocabulary is run through the tokenizer itself: a
+Before counting, the vocabulary is run once, on the driver, through the tokenizer itself: a
 vocabulary string that is one pre-token and encodes to exactly its own id is
 proven to be a whole token. In a text, a pre-token found in that proven set counts
 one without merging; only the others go through the merges, and their counts are
@@ -16,7 +16,6 @@ outside Latin scripts, special strings) goes to the library as it is.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -24,11 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .workers import Recent, lean, values
+
 #: The published pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose counts a worker keeps; then it starts anew.
-KNOWN = 300_000
-
 _SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
@@ -59,41 +57,32 @@ def proven_whole_tokens(tokenizer: Tokenizer) -> frozenset[str]:
     return frozenset(t for t, i, e in zip(texts, ids, tokenizer.encode_batch(texts, add_special_tokens=False)) if e.ids == [i])
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> Callable[[str], int]:
-    """A function that counts the tokens of a text; made once in each worker."""
+def plain_tokenizer(path: str) -> Tokenizer:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    whole = proven_whole_tokens(tokenizer)
+    return tokenizer
+
+
+def counter(path: str, whole: frozenset[str]) -> Callable[[str], int]:
+    """A function that counts the tokens of a text, given the proven whole tokens. Its tables go with it."""
+    tokenizer = plain_tokenizer(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     pre_tokens = regex.compile(PRE_TOKEN).findall
     plain = regex.compile(r"[\x00-ɏ‐-‧]*+").fullmatch
     # the merges alone, on a pre-token written in the vocabulary's symbols
     symbols, tokenize = {b: c for b, c in byte_symbols().items()}, tokenizer.model.tokenize
-    merged: dict[str, int] = {}
-    known: dict[str, int] = {}
+    merged = Recent(lambda pre_token: len(tokenize(pre_token.encode().decode("latin-1").translate(symbols))))
+
+    def count_piece(text: str) -> int:
+        if plain(text):
+            return sum(1 if p in whole else merged[p] for p in pre_tokens(text))
+        return len(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def merge(pre_token: str) -> int:
-        n = merged.get(pre_token)
-        if n is None:
-            if len(merged) >= KNOWN:
-                merged.clear()
-            n = merged[pre_token] = len(tokenize(pre_token.encode().decode("latin-1").translate(symbols)))
-        return n
+    known = Recent(count_piece)
 
     def piece(text: str) -> int:
-        n = known.get(text)
-        if n is None:
-            if plain(text):
-                n = sum(1 if p in whole else merge(p) for p in pre_tokens(text))
-            else:
-                n = len(tokenizer.encode(text, add_special_tokens=False).ids)
-            if len(text) < 64:
-                if len(known) >= KNOWN:
-                    known.clear()
-                known[text] = n
-        return n
+        return known[text] if len(text) < 64 else count_piece(text)
 
     cut = regex.compile(r"(?<=\S) (?=\S)").split
 
@@ -116,13 +105,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     ``text`` are read.
     """
 
+    whole = proven_whole_tokens(plain_tokenizer(tokenizer_path))  # at most one entry for each of the vocabulary
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer_path)
+        count = counter(tokenizer_path, whole)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([count(t) for t in texts], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"]
-            )
+            sizes, counts = [], []
+            for text in values(batch.column(1)):
+                sizes.append(len((text or "").encode()))
+                counts.append(count(text or ""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, _SCHEMA).withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(lean(run), _SCHEMA).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 from samples import corpus, make
@@ -162,3 +163,75 @@ def test_classifier_awkward(spark, odd, none, awkward):
     assert quality_classifier.classify(odd, labels).count() == len(awkward[0])
     assert quality_classifier.classify(none, labels).count() == 0
     assert {r.score for r in quality_classifier.classify(odd, labels.limit(0)).collect()} == {0.5}
+
+
+def brute_features(text):
+    """Loop by loop: the features of each passage."""
+    import xxhash
+
+    raw, q = (text or "").encode(), quality_classifier
+    words, spans, start = [], [], None
+    for k, byte in enumerate([*raw, 32]):
+        if byte == 32 or 9 <= byte <= 13:
+            if start is not None:
+                words.append(raw[start:k])
+                spans.append(start)
+            start = None
+        elif start is None:
+            start = k
+    if not words:
+        return [[0.0] * q.FEATURES]
+    out = []
+    for lo in range(0, len(words), q.PASSAGE):
+        part = words[lo : lo + q.PASSAGE]
+        begin, end = (spans[lo] if lo else 0), (spans[lo + q.PASSAGE] if lo + q.PASSAGE < len(words) else len(raw))
+        shares = [0] * q.N_CLASSES
+        for byte in raw[begin:end]:
+            kind = next((k for k, chars in enumerate(q._CLASSES) if byte < 128 and chr(byte) in chars), q.N_CLASSES - 2 if byte > 127 else q.N_CLASSES - 1)
+            shares[kind] += 1
+        buckets = [0] * q.BUCKETS
+        for w in part:
+            buckets[(xxhash.xxh3_64_intdigest(w) >> 40) % q.BUCKETS] += 1
+        n = len(part)
+        out.append([s / (end - begin) for s in shares] + [sum(map(len, part)) / n / 10, sum(len(w) <= 3 for w in part) / n, len(set(part)) / n, n / q.PASSAGE] + [b / n for b in buckets])
+    return out
+
+
+def brute_score(model, passages):
+    """Loop by loop: gated attention over the passages of one text."""
+    import math
+
+    p = {k: v.tolist() for k, v in model.p.items()}
+    row = lambda x, m: [sum(a * m[i][j] for i, a in enumerate(x)) for j in range(len(m[0]))]
+    encoded, weights = [], []
+    for x in passages:
+        x = [(a - m) / s for a, m, s in zip(x, model.mean.tolist(), model.scale.tolist())]
+        h = [math.tanh(a + b) for a, b in zip(row(x, p["W"]), p["b"])]
+        gate = [math.tanh(v) / (1 + math.exp(-u)) for v, u in zip(row(h, p["V"]), row(h, p["U"]))]
+        encoded.append(h)
+        weights.append(math.exp(sum(g * w for g, w in zip(gate, p["w"]))))
+    z = [sum(w * h[j] for w, h in zip(weights, encoded)) / sum(weights) for j in range(len(encoded[0]))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, p["q"])) - p["c"][0]))
+
+
+def test_classifier_matches_brute_force(spark):
+    texts, docs, labels = labelled(spark, 80)
+    texts = [*texts, None, "", " \n ", "é ü 1,2 (x) \x01", " lead and  trail ", "w " * 500 + "Tail!"]
+    for t in texts:
+        assert np.allclose(quality_classifier.Encoder()(t), brute_features(t), atol=1e-6)
+    model = quality_classifier.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality_classifier.score(make(spark, texts), model, ["doc_id"]).collect()}
+    for k, t in enumerate(texts):
+        assert abs(got[k] - brute_score(model, brute_features(t))) < 1e-4
+
+
+def test_classifier_trains_on_whole_texts_and_on_clear_labels(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier.AttentionModel, "fit", lambda self, bags, y: seen.append((list(map(len, bags)), list(y))) or self)
+    ids = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2][:5]
+    words = "word " * quality_classifier.PASSAGE
+    rows = [(ids[0], words * 300), (ids[1], words), (ids[2], words * 2), (ids[3], "b"), (ids[3], "a " * 100), (ids[3], "b"), (ids[4], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 1), (ids[1], 0), (ids[2], 0), (ids[2], 1), (ids[3], 1), (ids[3], 1), (ids[4], 0), (None, 1)], "doc_id long, quality int")
+    quality_classifier.train(docs, labels)
+    assert seen == [([300, 1, 3, 1], [1.0, 0.0, 1.0, 0.0])]  # ids[2] has both labels; of ids[3] the least text
