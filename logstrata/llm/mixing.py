@@ -17,29 +17,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered, running_total
 from .common import n_words, small, written
 
 #: Words in a block. A source misses its target by some blocks at most, so a small block keeps small sources near theirs.
 BLOCK_WORDS = 16
-#: Words a shard is made for, and shards of a source at most; beyond that shards grow.
-SHARD_WORDS, MAX_SHARDS = 65_536, 4_096
+#: Words a shard is made for, and shards of a source at most; beyond that shards grow, and a task still sorts
+#: only the sizes of a shard's documents (some hundred thousand of them where a source has 10^13 words).
+SHARD_WORDS, MAX_SHARDS = 65_536, 65_536
 SEED = 20_240_601
 
 
 def fill_targets(sources: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
     """``sources`` (source, source_size: one row each) with src (place by code point, null last), weight and target.
 
-    The windows hold one row for each source, never one for each document.
+    Sources may be many: places and running sums come from sorted ranges, and only two totals reach the driver.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("src") % len(weights)).cast("int") + 1)
-    ranked = sources.withColumn("src", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long") - 1)
-    ranked = ranked.withColumn("weight", w).withColumn("room", F.col("source_size") * F.lit(float(cap)))
-    everything = Window.partitionBy()
-    before = Window.orderBy((F.col("room") / F.col("weight")).asc(), "src").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("room").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    ranked = ranked.withColumn("level", level)
-    fits = F.when(F.col("level") <= F.col("room") / F.col("weight") * (1 + 1e-12), F.col("level"))
-    return ranked.withColumn("target", F.least("room", F.max(fits).over(everything) * F.col("weight"))).select("source", "src", "source_size", "weight", F.coalesce("target", F.lit(0.0)).alias("target"))
+    ranked = numbered(sources.withColumn("_none", F.col("source").isNull()), ["_none", "source"], "src", "mix-places").drop("_none")
+    ranked = ranked.withColumn("weight", w).withColumn("room", F.col("source_size") * F.lit(float(cap))).withColumn("_ratio", F.col("room") / F.col("weight"))
+    ranked = written(running_total(ranked, ["_ratio", "src"], {"room": "_room", "weight": "_weight"}, "mix-rooms"), "mix-levels")
+    total = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(total["size"]) - F.col("_room")) / (F.lit(total["weight"]) - F.col("_weight"))
+    fits = ranked.withColumn("level", level).filter(F.col("level") <= F.col("_ratio") * (1 + 1e-12)).agg(F.max("level")).first()[0]
+    target = F.least("room", F.lit(fits).cast("double") * F.col("weight"))
+    return ranked.select("source", "src", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
 def apportion(parties: DataFrame, group: list[str], party: str, votes: str, seats: Column) -> DataFrame:
@@ -48,18 +50,27 @@ def apportion(parties: DataFrame, group: list[str], party: str, votes: str, seat
     Whatever divisor fits lies between V/(S + n/2) and V/(S - n/2), with V votes, S
     seats and n parties. So a party surely has its seats by the larger divisor and
     never more than by the smaller one. Only the quotients between the two are
-    ranked, about two for each party however many seats there are.
+    ranked, about two for each party however many seats there are. Without a ``group`` all parties are one, and
+    may be many: quotients are ranked in sorted ranges. A group is ranked in one task.
     """
-    w = Window.partitionBy(*group)
-    v, n = F.sum(votes).over(w), F.count("*").over(w)
-    p = parties.withColumn("_seats", seats.cast("double")).withColumn("_v", v).withColumn("_n", n.cast("double"))
+    if group:
+        w = Window.partitionBy(*group)
+        total = {"_v": F.sum(votes).over(w), "_n": F.count("*").over(w)}
+    else:
+        whole = parties.agg(F.sum(votes).alias("v"), F.count("*").alias("n")).first()
+        total = {"_v": F.lit(whole.v), "_n": F.lit(whole.n)}
+    p = parties.withColumns({"_seats": seats.cast("double"), "_v": total["_v"], "_n": total["_n"].cast("double")})
     share = F.when(F.col("_v") > 0, F.col(votes) / F.col("_v")).otherwise(F.lit(0.0))
     p = p.withColumn("_low", F.greatest(F.lit(0), F.floor(share * (F.col("_seats") - F.col("_n") / 2) - 0.5) - 1).cast("long"))
     p = p.withColumn("_high", F.greatest(F.col("_low"), F.ceil(share * (F.col("_seats") + F.col("_n") / 2) + 0.5) + 1).cast("long"))
-    p = p.withColumn("_left", F.col("_seats") - F.sum("_low").over(w))
-    open_ = p.filter(F.col(votes) > 0).select(*group, party, "_low", "_left", votes, F.explode(F.sequence("_low", "_high")).alias("_k"))
-    order = Window.partitionBy(*group).orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), F.col(party), F.col("_k"))
-    won = open_.withColumn("_rank", F.row_number().over(order)).groupBy(*group, party, "_low").agg(F.sum((F.col("_rank") <= F.col("_left")).cast("long")).alias("_more"))
+    sure = F.sum("_low").over(Window.partitionBy(*group)) if group else F.lit(p.agg(F.sum("_low")).first()[0])
+    p = p.withColumn("_left", F.col("_seats") - sure)
+    open_ = p.filter(F.col(votes) > 0).select(*group, party, "_low", "_left", votes, F.explode(F.sequence("_low", "_high")).alias("_k")).withColumn("_q", F.col(votes) / (2 * F.col("_k") + 1))
+    if group:
+        ranked = open_.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("_q").desc(), F.col(party), F.col("_k"))))
+    else:
+        ranked = numbered(open_.withColumn("_q", -F.col("_q")), ["_q", party, "_k"], "_rank", "quotients", first=1)
+    won = ranked.groupBy(*group, party, "_low").agg(F.sum((F.col("_rank") <= F.col("_left")).cast("long")).alias("_more"))
     return won.select(*group, party, (F.col("_low") + F.col("_more")).alias("seats"))
 
 
@@ -80,8 +91,8 @@ def mix(
     """
     sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     sources = written(fill_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "mix-sources")
-    total = F.sum("source_size").over(Window.partitionBy())
-    dealt = apportion(sources.withColumn("all", F.lit(0)).withColumn("total", total), ["all"], "src", "target", F.round(F.col("total") / block_words))
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    dealt = apportion(sources, [], "src", "target", F.round(F.lit(total) / block_words))
     plan = sources.join(dealt.select("src", "seats"), "src", "left").select(
         "source", "src", "source_size", "target", F.coalesce("seats", F.lit(0)).alias("blocks"), F.greatest(F.lit(1), F.least(F.lit(max_shards), F.ceil(F.col("source_size") / shard_words))).cast("long").alias("shards")
     )

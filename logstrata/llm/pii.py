@@ -251,7 +251,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs``.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (of all kinds) for each row of ``docs``.
 
     ``spans`` is kind:start:end of all spans, base ones and those that the method
     adds, by kind as in ``KINDS``, then start; places count code points, end exclusive.
@@ -278,5 +278,6 @@ def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     rows = rows.withColumn("number", F.filter(F.col("number"), lambda c: _outside(c, [F.col("secret")])))
     named = {k: _named(k) for k in KINDS}
     return rows.select(
-        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(F.array_join(F.concat(*[named[k] for k in BASE]), ","), 256).alias("base_sha256"), F.array_join(F.concat(*named.values()), ",").alias("spans")
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(F.array_join(F.concat(*[named[k] for k in BASE]), ","), 256).alias("base_sha256"), F.array_join(F.concat(*named.values()), ",").alias("spans"),
+        sum((F.size(k) for k in KINDS), F.lit(0)).cast("long").alias("n_spans"),
     )

@@ -29,12 +29,35 @@ def brute_exact(docs):
 def test_exact_matches_brute_force_at_any_block_size(spark):
     texts = corpus(2) + ["x" * 100, "x" * 101, "x" * 99 + "y", None, "", " "]
     want = sorted((d, k, n, h) for d, k, n, h in brute_exact(list(enumerate(texts))))
-    for block in (7, 4096):
-        got = rows(exact_dedup.exact_dedup(make(spark, texts), block), "doc_id")
+    for block, hot, few in ((7, 3, 0), (4096, 1000, 1000)):
+        got = rows(exact_dedup.exact_dedup(make(spark, texts), block, hot, few), "doc_id")
         assert [(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got] == want
         assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
 
 
+def test_exact_names_are_the_same_however_rows_are_dealt(spark):
+    texts = [(k, t.encode()) for k, t in enumerate(corpus(3, 80))]
+    found = []
+    for parts, few in ((1, 1000), (7, 0)):
+        df = spark.createDataFrame(texts[:: -1 if parts > 1 else 1], "k long, body binary").repartition(parts)
+        found.append(sorted(map(tuple, exact_dedup.block_identities(df, 16, 2, few).collect())))
+    assert found[0] == found[1]
+    names = {}
+    for (k, level, name), (_, body) in zip(found[0], texts):
+        assert names.setdefault((level, name), body) == body
+    assert len(names) == len({b for _, b in texts})
+
+
+def test_exact_keys_of_two_contents_are_made_anew(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    made = exact_dedup.key_of
+    monkeypatch.setattr(exact_dedup, "key_of", lambda block, seed: made(block, seed) if seed else [F.lit(1).cast("long").alias("ka"), F.length(block).cast("long").alias("kb")])
+    df = spark.createDataFrame([(1, b"aaaa"), (2, b"bbbb"), (3, b"aaaa"), (4, b"c")], "k long, body binary")
+    got = {r.k: r.name for r in exact_dedup.block_identities(df).collect()}
+    assert got[1] == got[3] and sorted({*got.values()}) == [0, 1, 2]
+
+
 def test_exact_names_differ_where_checksums_do_not(spark):
     """The naming alone decides: bodies of one length, whatever their checksum."""
     df = spark.createDataFrame([(1, b"aaaabbbbcccc"), (2, b"aaaabbbbcccd"), (3, b"aaaabbbbcccc"), (4, b""), (5, b"aaaa"), (6, b"bbbbaaaacccc")], "rid long, body binary")
@@ -171,3 +194,84 @@ def test_measured_recall_at_the_threshold():
         shared, one, two = (rng.integers(0, 2**63, k, np.uint64) for k in (80, 10, 10))
         met += bool((signer.bands(np.r_[shared, one]) == signer.bands(np.r_[shared, two])).any())
     assert met >= 399
+
+
+# components
+
+
+def test_components_contract_hubs_chains_and_random_edges(spark):
+    import random
+
+    from logstrata.llm.components import components
+
+    rng = random.Random(9)
+    edges = [(500, k) for k in range(501, 560)] + [(900 - k, 901 - k) for k in range(60)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(7, 7), (3, 4), (4, 3)]
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = find(u), find(v)
+            parent[max(a, b)] = min(a, b)
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in list(parent)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_large_components_are_cut_where_buckets_are_apart(spark):
+    """A chain of groups, each near the next only through its boilerplate: all links are found, and not all blocks meet."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    texts, last = [], [word() for _ in range(40)]
+    for _ in range(12):
+        base = last[:22] + [word() for _ in range(18)]
+        last = base[18:] + [word() for _ in range(18)]
+        for _ in range(6):
+            copy = list(base)
+            copy[rng.randrange(40)] = word()
+            texts.append(" ".join(copy))
+    got = sorted(tuple(r) for r in near_dedup.near_dedup(make(spark, texts), block_texts=4).collect())
+    assert got == sorted(brute_near(list(enumerate(texts))))
+
+
+def test_units_between_blocks_count_no_pair_twice():
+    import random
+
+    from logstrata.llm.shingles import WordHashes
+
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(20):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{k}"
+        texts.append((k, 1 if rng.random() < 0.5 else 2, " ".join(words)))
+    known, counts = WordHashes(), Counter()
+    for i, j in ((1, 1), (1, 2), (2, 2)):
+        for rid, n, root in zip(*near_dedup.verify_unit([t for t in texts if t[1] in (i, j)], i, j, known, 5, 0.8)):
+            counts[rid] += int(n)
+            assert root <= rid
+    assert [(k, counts[k]) for k in range(20)] == [(k, n) for k, _, _, n in sorted(brute_near([(k, t) for k, _, t in texts]))]
+
+
+def test_texts_of_one_word_take_bounded_segments(spark, monkeypatch):
+    """A million equal words: no segment and no automaton as long as the text."""
+    longest = []
+    batch = substring_dedup._batch
+    monkeypatch.setattr(substring_dedup, "_batch", lambda rows: longest.append(max(r[4] for r in rows)) or batch(rows))
+    text = "same " * 1_000_000
+    run = substring_dedup._segments(13, 4)
+    import pyarrow as pa
+
+    least = substring_dedup._windows(text, substring_dedup.MarkedHashes(), 13, 4)[1]
+    given = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text]), pa.array([[int(least[0])]], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.int64()))], names=["doc", "sum", "text", "minis", "crowded"])
+    made = [b for b in run(iter([given]))]
+    assert max(longest) <= substring_dedup.LONGEST and sum(sum(b.column("n").to_pylist()) for b in made) == 1_000_000 - 12
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(make(spark, [text, "x " + text, "same " * 12, "same " * 20])).collect()}
+    assert got == {0: (1_000_000, 0), 1: (1_000_001, 1_000_000), 2: (12, 0), 3: (20, 20)}

@@ -70,3 +70,24 @@ def test_one_row_of_each_group_where_doc_ids_repeat(spark):
     assert [x[:2] for x in got] == [(False, 1), (False, 2), (False, 4), (False, 5), (False, 6), (False, 7), (False, 7)] + [(True, 0)] * 3
     assert {x[2][0] for x in got if x[1] == 7} == {"f", "g"} and {x[2][0] for x in got if x[0]} == {"d", "h", "n"}
     assert (False, 2, b) in got and (False, 4, c) in got
+
+
+def test_stages_on_awkward_tables(spark, odd, none, awkward, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns, and empty tables."""
+    sf_dir = str(tmp_path)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 40)], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    rows = [r[:2] for r in awkward[0]]
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        out, nothing = stage(spark, odd, sf_dir), stage(spark, none, sf_dir)
+        assert nothing.count() == 0 and nothing.columns == out.columns
+        got = out.collect()
+        counts.append(len(got))
+        if name != "best-fit packing":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+            assert {r.doc_id for r in got} <= {d for d, _ in rows}
+    assert counts[0] <= len(rows)
+    assert counts[1] == len({h for _, _, _, h in brute_exact(rows)})
+    assert 0 < counts[2] <= counts[1] and counts[3] > 0
+    long = sum(len((t or "").split()) > 4096 for _, t in rows)
+    assert counts[4] >= len(rows) + long
