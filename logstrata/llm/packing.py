@@ -12,6 +12,7 @@ length and rank.
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import unicodedata
 import zlib
@@ -34,48 +35,54 @@ CAPACITY = 4096
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: The published pre-token pattern of this vocabulary.
+#: The published pre-token pattern of this vocabulary, and what it comes to on lower-case ASCII.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_TOKEN = r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+"
+#: Pre-tokens that are remembered: new ones cost a merge each, and there are many.
+KNOWN = 100_000
 
 
-class WordIds(Recent):
-    """A word (bytes without ASCII white space) to its ids as little-endian unsigned 32-bit bytes.
+class TextIds:
+    """A text to its ids as little-endian unsigned 32-bit bytes.
 
-    Words of Latin letters are lowered and cut into pre-tokens here and only
-    the merges are left to the library, each distinct pre-token once. Any other word (other
-    scripts, control characters, what might be a special string) goes to it as it is.
+    A text of Latin letters, ASCII white space and visible characters is lowered and cut into pre-tokens here, and only
+    the merges are left to the library, each distinct pre-token once. Of any other text the parts between ASCII white space
+    go one by one, to the same way or (other scripts, control characters, what might be a special string) to the library as they are.
     """
 
     def __init__(self, path: str):
-        super().__init__(self._ids)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.merge = self.tokenizer.model.tokenize
-        self.cut = regex.compile(PRE_TOKEN).findall
-        self.latin = regex.compile(r"[!-~¡-\u024f]+").fullmatch
+        self.cut, self.cut_ascii = regex.compile(PRE_TOKEN).findall, re.compile(ASCII_TOKEN).findall
+        self.odd = re.compile("[^!-~¡-\u024f \\t\\n\\x0b\\x0c\\r]|<\\|").search
         self.symbols = byte_symbols()
-        self.parts = Recent(self._part)
+        self.packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
+        self.parts = Recent(self._part, KNOWN)
+        self.words = Recent(self._word)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return self.packers[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
     def _part(self, part: str) -> bytes:
         symbols = part if part.isascii() else "".join(map(self.symbols.__getitem__, part.encode()))
-        return struct.pack(f"<{len(t := self.merge(symbols))}I", *[x.id for x in t])
+        return self._pack([t.id for t in self.merge(symbols)])
 
-    def _ids(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.latin(text) and "<|" not in text:
-            lower = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
-            return b"".join(map(self.parts.__getitem__, self.cut(lower)))
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _plain(self, text: str) -> bytes:
+        cut = self.cut_ascii(text.lower()) if text.isascii() else self.cut(unicodedata.normalize("NFC", text).lower())
+        return b"".join(map(self.parts.__getitem__, cut))
 
-    def __missing__(self, word: bytes) -> bytes:
-        return super().__missing__(word) if len(word) < 64 else self._ids(word)
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if self.odd(text) else self._plain(text)
 
     def encode(self, text: str) -> bytes:
         """This tokenizer drops white space and no pre-token of it spans any, so the ids of a
         text are those of its parts between ASCII white space, one after the other."""
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        if not self.odd(text):
+            return self._plain(text)
+        return b"".join([self.words[w] if len(w) < 64 else self._word(w) for w in text.encode().split()])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -83,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CA
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(tokenizer_path).encode
+        encode = TextIds(tokenizer_path).encode
         for batch in batches:
             out = []
             for doc_id, text in zip(values(batch.column(0)), values(batch.column(1))):
