@@ -9,7 +9,7 @@ from .operators.export import run_export
 from .operators.filters import LogFilters, apply_filters
 from .operators.query import LogStore, count_logs, fetch_context, fetch_logs, query_logs
 from .operators.summary import Summary, summarise
-from .plans.workflow import annotate_case, clear_annotations, open_or_extract, run_extract, run_identify, validate, verify_case
+from .plans.workflow import annotate_case, clear_annotations, open_or_extract, run_extract, run_identify, validate, validate_acquisition, verify_case
 from .session import session
 from .sources.containers import detect, loose_dirs, prepare
 from .sources.datasource import register

@@ -7,8 +7,10 @@ are Python's and run on Arrow batches.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import asdict
 from functools import reduce
 
 import pyarrow as pa
@@ -53,6 +55,13 @@ def extract_values(signature: Signature, message: str | None) -> list[tuple[str,
     return out
 
 
+def definition(signature: Signature) -> tuple[str, str, str]:
+    """What a signature matched on, what it extracts, and its references, as JSON: a case says by itself why a log was annotated."""
+    match = {k: v for k, v in asdict(signature.match).items() if v}
+    extract = {"regex": signature.extract_regex, "fields": dict(signature.extract_fields)}
+    return json.dumps(match, sort_keys=True), json.dumps({k: v for k, v in extract.items() if v}, sort_keys=True), json.dumps(signature.references)
+
+
 def annotate(logs: DataFrame, kb: KnowledgeBase, applied_at: str = "", first_kb_id: int = 1, **which) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures, annotations, values) to append to a case; only signatures with a hit get a row."""
     spark, chosen = logs.sparkSession, select_signatures(kb, **which)
@@ -77,9 +86,12 @@ def annotate(logs: DataFrame, kb: KnowledgeBase, applied_at: str = "", first_kb_
     found = written(rows.mapInArrow(read, "log_id long, kb_id long, values array<struct<label:string,value:string>>"), "annotated")  # one scan for three tables
     annotations = found.select("log_id", "kb_id")
     values = found.select("log_id", "kb_id", F.inline("values"))
-    meta = spark.createDataFrame([(first_kb_id + i, s.id, s.action, s.description, s.confidence, list(s.tags), kb.version, applied_at) for i, s in enumerate(chosen)], "kb_id long, signature_id string, action string, description string, confidence string, tags array<string>, kb_version string, applied_at string")
+    meta = spark.createDataFrame(
+        [(first_kb_id + i, s.id, s.action, s.description, s.confidence, list(s.tags), kb.version, applied_at, *definition(s)) for i, s in enumerate(chosen)],
+        "kb_id long, signature_id string, action string, description string, confidence string, tags array<string>, kb_version string, applied_at string, match string, extract string, references string",
+    )
     counts = annotations.groupBy("kb_id").agg(F.count("*").alias("match_count"))
-    signatures = counts.join(F.broadcast(meta), "kb_id").select("kb_id", "signature_id", "action", "description", "confidence", "tags", "kb_version", "match_count", "applied_at")
+    signatures = counts.join(F.broadcast(meta), "kb_id").select("kb_id", "signature_id", "action", "description", "confidence", "tags", "kb_version", "match_count", "applied_at", "match", "extract", "references")
     return signatures, annotations, values
 
 

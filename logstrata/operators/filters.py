@@ -11,7 +11,7 @@ import re
 import time
 import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 from decimal import Decimal
 from functools import reduce
@@ -139,7 +139,10 @@ def matches_keywords(column: Column, query: str) -> Column | None:
     if not terms:
         return None
     joined = F.concat(F.lit(" "), F.array_join(tokens(column), " "), F.lit(" "))
-    return reduce(lambda a, b: a & b, [joined.contains(f" {' '.join(t)} ") for t in terms])
+    # a text of ASCII alone holds a token only as it stands, which is cheap to see; only what passes is cut into tokens
+    plain = [contains(column, t) for term in terms for t in term if t.isascii()]
+    maybe = reduce(lambda a, b: a & b, plain, F.lit(True)) | column.rlike(r"[^\x00-\x7F]")
+    return reduce(lambda a, b: a & b, [joined.contains(f" {' '.join(t)} ") for t in terms], maybe)
 
 
 def predicate(filters: LogFilters, now_ns: int | None = None) -> Column:
@@ -181,7 +184,12 @@ def annotated_ids(filters: LogFilters, signatures: DataFrame, annotations: DataF
     return annotations.join(signatures.filter(ok).select("kb_id"), "kb_id", "left_semi").select("log_id").distinct()
 
 
-def apply_filters(logs: DataFrame, filters: LogFilters, signatures: DataFrame | None = None, annotations: DataFrame | None = None, now_ns: int | None = None) -> DataFrame:
+def apply_filters(logs: DataFrame, filters: LogFilters, signatures: DataFrame | None = None, annotations: DataFrame | None = None, now_ns: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Rows that meet all criteria. With a keyword ``index`` (see :mod:`.keywords`) keywords are looked up there and not searched in every message."""
+    if index is not None and filters.message_match is not None:
+        from .keywords import indexed_match
+
+        logs, filters = indexed_match(logs, index, filters.message_match), replace(filters, message_match=None)
     out = logs.filter(predicate(filters, now_ns))
     if filters.wants_annotations:
         if signatures is None or annotations is None:

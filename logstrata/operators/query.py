@@ -46,15 +46,19 @@ def with_lookups(fact: DataFrame, *lookups: tuple[DataFrame, str, str, list[str]
 class LogStore:
     """A case that is held open: its tables and what can be asked of them."""
 
-    def __init__(self, logs: DataFrame, signatures: DataFrame | None = None, annotations: DataFrame | None = None, values: DataFrame | None = None):
-        self.logs, self.signatures, self.annotations, self.values = logs, signatures, annotations, values
+    def __init__(self, logs: DataFrame, signatures: DataFrame | None = None, annotations: DataFrame | None = None, values: DataFrame | None = None, index: DataFrame | None = None):
+        self.logs, self.signatures, self.annotations, self.values, self.index = logs, signatures, annotations, values, index
 
     @property
     def annotated(self) -> bool:
         return self.annotations is not None
 
+    @property
+    def indexed(self) -> bool:
+        return self.index is not None
+
     def matching(self, filters: LogFilters | None = None) -> DataFrame:
-        return apply_filters(self.logs, filters or LogFilters(), self.signatures, self.annotations)
+        return apply_filters(self.logs, filters or LogFilters(), self.signatures, self.annotations, index=self.index)
 
     def count(self, filters: LogFilters | None = None) -> int:
         return self.matching(filters).count()

@@ -80,6 +80,11 @@ def top_facets(logs: DataFrame, top: int = 10) -> DataFrame:
     return ranked.filter(F.col("r") <= F.when(F.col("facet") == "log_level", 5).otherwise(top))
 
 
+def case_stats(logs: DataFrame) -> DataFrame:
+    """(event_type, log_level, n, processes, subsystems): rows of each kind, and how many names they have."""
+    return logs.groupBy("event_type", "log_level").agg(F.count("*").alias("n"), F.count_distinct("process").alias("processes"), F.count_distinct("subsystem").alias("subsystems"))
+
+
 def annotated_logs(annotations: DataFrame) -> DataFrame:
     """One row: how many logs have an annotation."""
     return annotations.agg(F.count_distinct("log_id").alias("n"))

@@ -702,3 +702,22 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     text = F.concat(F.lit("owner "), F.col("c_name"), F.lit(" in /Users/someone/x"))
     return table(spark, sf_dir, "customer").select("c_custkey", sc.redact(text, ["Customer#000000007", ""]).alias("text"))
+
+
+@query("flt12_keyword_index", "SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), 'license') AND contains(' ' || array_to_string(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ', ' apache license ')")
+def _(spark, sf_dir):
+    from ..operators.keywords import keyword_index
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("message"), F.lit(1).alias("timestamp_unix_ns"))
+    return LogStore(docs, index=keyword_index(docs)).matching(LogFilters(message_match="apache-license LICENSE")).select(F.col("id").alias("doc_id"))
+
+
+@query("jn22_tamper_subquery", _SHIFTED + " SELECT id FROM s a WHERE t < (SELECT max(t) FROM s b WHERE b.boot_uuid = a.boot_uuid AND b.id < a.id)")
+def _(spark, sf_dir):
+    rows = logs(spark, sf_dir).filter("timestamp_unix_ns > 0 and boot_uuid is not null").withColumn("timestamp_unix_ns", F.expr("timestamp_unix_ns - case when id % 97 = 0 then 7200000000000 else 0 end"))
+    return ordering.clock_setbacks(rows, order="id").select("id")
+
+
+@query("ag27_case_stats", f"WITH {SQL_LOGS} SELECT event_type, log_level, count(*) AS n, count(DISTINCT process) AS processes, count(DISTINCT subsystem) AS subsystems FROM logs GROUP BY ALL")
+def _(spark, sf_dir):
+    return summary.case_stats(logs(spark, sf_dir))

@@ -36,11 +36,14 @@ def run_extract(spark: SparkSession, source: str, case_path: str, work: str | No
     Parsed records are written once; joins and windows read them. Source files are hashed before and
     after, and a file that changed in between is told by its two digests.
     """
-    seconds, began = {}, time.time()
+    seconds, began, case = {}, time.time(), None
 
     def done(phase: str) -> None:
+        """Notes a phase that ended in the case's ledger, so that a broken run tells how far it came."""
         nonlocal began
         seconds[phase], began = round(time.time() - began, 3), time.time()
+        if case is not None:
+            case.set_status("running", phase=phase, seconds=seconds)
 
     root, facts = source, {}
     if "://" not in source:
@@ -164,3 +167,14 @@ def validate(reference_lines: DataFrame, case: CaseStore, allow_missing: int = 0
     if missing > allow_missing:
         warnings.warn(f"{missing} logs of the reference are missing", stacklevel=2)
     return missing <= allow_missing, outer
+
+
+def validate_acquisition(spark: SparkSession, one: str, two: str) -> tuple[bool, DataFrame]:
+    """(passed, verdicts) of two archives of one device, file by file and without parsing.
+
+    A live store grows, rotates and purges, so files that only one side has, or that begin like the other's, are
+    normal. Only a log file whose bytes changed in place (diverged) fails the check.
+    """
+    sides = [compare.file_table(spark, root).filter(compare.is_log_data(F.col("rel_path"))) for root in (one, two)]
+    found = compare.compare_files(*sides)
+    return found.filter("verdict = 'diverged'").isEmpty(), found

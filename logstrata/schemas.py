@@ -43,7 +43,7 @@ VIEW = ("id", "timestamp_unix_ns", "timestamp_mach", "process", "pid", "tid", "e
 
 ANCHORS = "anchor_id long, boot_uuid string, file_id long, file_offset long, kernel_time long, wall_ns long, record long, numerator long, denominator long, boot_rank long, is_boot boolean"
 SOURCE_FILES = "file_id long, rel_path string, kind string, size long, sha256 string, entries long, damage array<string>"
-KB_SIGNATURES = "kb_id long, signature_id string, action string, description string, confidence string, tags array<string>, kb_version string, match_count long, applied_at string"
+KB_SIGNATURES = "kb_id long, signature_id string, action string, description string, confidence string, tags array<string>, kb_version string, match_count long, applied_at string, match string, extract string, references string"
 ANNOTATIONS = "log_id long, kb_id long"
 VALUES = "log_id long, kb_id long, label string, value string"
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators.keywords import keyword_index
 from .operators.query import LogStore, read_surface
 from .schemas import STATUSES
+from .scratch import drop, written
 
-TABLES = ("logs", "source_files", "anchors", "boots", "shutdown_events", "shutdown_clients", "kb_signatures", "annotations", "extracted_values", "identified")
+TABLES = ("logs", "source_files", "anchors", "boots", "shutdown_events", "shutdown_clients", "kb_signatures", "annotations", "extracted_values", "identified", "keywords")
 
 
 class InvalidCaseError(ValueError):
@@ -41,6 +45,17 @@ class CaseStore:
         line = json.dumps(self.meta() | more | {"status": status, "at": datetime.now(timezone.utc).isoformat()})
         self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_meta")
 
+    def seal(self, log_path: str) -> str:
+        """Notes the digest of an operational log file in the case, so that a later change shows. The file is on the driver."""
+        import hashlib
+
+        digest = hashlib.sha256()
+        with open(log_path, "rb") as f:
+            while part := f.read(1 << 20):
+                digest.update(part)
+        self.set_status(self.meta().get("status", "complete"), log_file=log_path, log_file_sha256=digest.hexdigest())
+        return digest.hexdigest()
+
     @classmethod
     def create(cls, spark: SparkSession, path: str, **meta) -> CaseStore:
         out = cls(spark, path)
@@ -63,6 +78,18 @@ class CaseStore:
     def write(self, name: str, df: DataFrame, mode: str = "overwrite", **options) -> None:
         df.write.mode(mode).options(**options).parquet(f"{self.path}/{name}")
 
+    def write_valid(self, name: str, df: DataFrame, required: tuple[str, ...] = ("id", "timestamp_unix_ns", "timestamp_mach", "message"), **options) -> int:
+        """Writes the rows that have all ``required`` columns; the others go to <name>_rejects, and their number is returned. One bad row spoils no table."""
+        rows = written(df, name)
+        valid = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in required if c in df.columns], F.lit(True))
+        self.write(name, rows.filter(valid), **options)
+        bad = rows.filter(~valid)
+        n = bad.count()
+        if n:
+            self.write(f"{name}_rejects", bad)
+        drop(rows)
+        return n
+
     def append(self, name: str, df: DataFrame) -> None:
         self.write(name, df, "append")
 
@@ -70,7 +97,12 @@ class CaseStore:
         return self.spark.read.parquet(f"{self.path}/{name}") if self._exists(name) else None
 
     def logs(self) -> LogStore:
-        return LogStore(self.table("logs"), self.table("kb_signatures"), self.table("annotations"), self.table("extracted_values"))
+        return LogStore(self.table("logs"), self.table("kb_signatures"), self.table("annotations"), self.table("extracted_values"), self.table("keywords"))
+
+    def index_messages(self) -> None:
+        """Writes the keyword index of the logs; from then on keyword queries use it."""
+        found = keyword_index(self.table("logs"))
+        found.repartition("bucket", "token").sortWithinPartitions("bucket", "token", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/keywords")
 
     def view(self, name: str = "v_logs") -> DataFrame:
         """Registers and returns the stable read surface."""

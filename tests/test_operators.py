@@ -332,3 +332,19 @@ def test_signature_files_may_use_either_spelling():
     assert build_signature(raw | {"extract-regex": "(?P<a>x)", "extract_regex": "(?P<z>x)"}, "f").labels == ["a"]
     with pytest.raises(KnowledgeBaseError):
         build_signature(raw | {"status": "new"}, "f")
+
+
+def test_keyword_index_and_scan_agree(spark, tmp_path):
+    from logstrata.operators.filters import matches_keywords
+    from logstrata.operators.keywords import candidates, indexed_match, keyword_index
+
+    texts = ["Plain LICENSE text", "lícense of a plain-text file", "license", "text plain", None, "", "Kelvin \u212aey", "key plain_text", "plain  Text!", "unlicensed plaintext", "Straße text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, message string")
+    keyword_index(df).write.partitionBy("bucket").parquet(f"{tmp_path}/k")
+    index = spark.read.parquet(f"{tmp_path}/k")
+    for query, want in (("license", [0, 1, 2]), ("plain-text", [1, 7, 8]), ("TEXT plain", [0, 1, 3, 7, 8]), ("key", [6, 7]), ("straße", [10]), ("nothing here", []), ("!!", list(range(11)))):
+        assert ids(indexed_match(df, index, query)) == want, query
+        scan = matches_keywords(F.col("message"), query)
+        assert ids(df if scan is None else df.filter(scan)) == want, query
+    plan = candidates(index, "license")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
