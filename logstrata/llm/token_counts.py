@@ -6,15 +6,16 @@ proven to be a whole token. In a text, a pre-token found in that proven set coun
 one without merging; only the others go through the merges, and their counts are
 kept in a bounded table.
 
-Texts are cut where a single space stands between two characters that are not
-white space. The byte-level pattern starts a new pre-token at every such place,
-so pieces can be counted by themselves, and a piece that is already known costs one
-look-up. Whatever the pattern here might read otherwise than the library (characters
+A text of visible Latin characters and ASCII white space is cut into pre-tokens at once. Any other is cut
+where a single space stands between two characters that are not
+white space: the byte-level pattern starts a new pre-token at every such place,
+so pieces can be counted by themselves. Whatever the pattern here might read otherwise than the library (characters
 outside Latin scripts, special strings) goes to the library as it is.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,8 +26,11 @@ from tokenizers import Tokenizer
 
 from .workers import Recent, lean, values
 
-#: The published pre-token pattern of byte-level BPE.
+#: The published pre-token pattern of byte-level BPE, and what it comes to on ASCII.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ASCII_TOKEN = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: Pre-tokens whose counts are remembered.
+KNOWN = 100_000
 _SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
@@ -68,29 +72,29 @@ def counter(path: str, whole: frozenset[str]) -> Callable[[str], int]:
     """A function that counts the tokens of a text, given the proven whole tokens. Its tables go with it."""
     tokenizer = plain_tokenizer(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    pre_tokens = regex.compile(PRE_TOKEN).findall
-    plain = regex.compile(r"[\x00-ɏ‐-‧]*+").fullmatch
+    pre_tokens, ascii_tokens = regex.compile(PRE_TOKEN).findall, re.compile(ASCII_TOKEN).findall
+    odd = re.compile("[^!-~¡-\u024f\u2010-\u2027 \\t\\n\\x0b\\x0c\\r]").search
     # the merges alone, on a pre-token written in the vocabulary's symbols
     symbols, tokenize = {b: c for b, c in byte_symbols().items()}, tokenizer.model.tokenize
-    merged = Recent(lambda pre_token: len(tokenize(pre_token.encode().decode("latin-1").translate(symbols))))
+    known = Recent(lambda p: 1 if p in whole else len(tokenize(p.encode().decode("latin-1").translate(symbols))), KNOWN)
 
-    def count_piece(text: str) -> int:
-        if plain(text):
-            return sum(1 if p in whole else merged[p] for p in pre_tokens(text))
-        return len(tokenizer.encode(text, add_special_tokens=False).ids)
+    def plain(text: str) -> int:
+        return sum(map(known.__getitem__, ascii_tokens(text) if text.isascii() else pre_tokens(text)))
 
-    known = Recent(count_piece)
+    pieces = Recent(lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids) if odd(text) else plain(text))
 
     def piece(text: str) -> int:
-        return known[text] if len(text) < 64 else count_piece(text)
+        return pieces[text] if len(text) < 64 else pieces.make(text)
 
     cut = regex.compile(r"(?<=\S) (?=\S)").split
 
     def count(text: str) -> int:
         if any(s in text for s in special):
             return len(tokenizer.encode(text, add_special_tokens=False).ids)
+        if not odd(text):
+            return plain(text)
         first, *rest = cut(text)
-        return (piece(first) if first else 0) + sum([known[k] if (k := " " + p) in known else piece(k) for p in rest])
+        return (piece(first) if first else 0) + sum([piece(" " + p) for p in rest])
 
     return count
 

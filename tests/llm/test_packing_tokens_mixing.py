@@ -50,6 +50,25 @@ def test_packing_awkward(odd, none, awkward):
     assert packing.pack(none, WORDS).count() == 0
 
 
+def test_encoders_match_the_library_on_awkward_pieces():
+    rng = random.Random(17)
+    bits = [*ODD_TEXTS, "a", "B", "é", "É", "ß", "İ", "ʼ", "'s", "'LL", "’", "…", " ", "  ", "\t", "\n\n", "\r", "\x0b", "\x1c", "\x00", "\x85", "\xa0", "\u2003", "<|endoftext|>", "<|", "|>", "12", "४", "!?", "--", "日本", "и", "\u0301", "ﬁ", "½", "x" * 70, "the ", "Words", "don't", "😀", "\u2028", "‐"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(4_000)]
+    ids, counts = packing.TextIds(WORDS).encode, token_counts.counter(BYTES, token_counts.proven_whole_tokens(token_counts.plain_tokenizer(BYTES)))
+    for text, a, b in zip(texts, Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False), Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids(text), "<u4").tolist() == a.ids and counts(text) == len(b.ids), repr(text)
+
+
+def test_remembered_keys_stay_within_their_bound():
+    from logstrata.llm.workers import Recent
+
+    made = Counter()
+    table = Recent(lambda k: made.update([k]) or k * 2, 10)
+    for k in range(1_000):
+        assert table[k] == 2 * k and table[-1] == -2 and len(table) <= 10 and len(table.older) <= 10
+    assert made[-1] == 1 and max(made.values()) == 1
+
+
 def test_plan_is_best_fit_decreasing_in_number_of_sequences():
     rng = random.Random(2)
     for _ in range(200):
