@@ -18,6 +18,7 @@ from ..operators.annotate import annotate
 from ..sources import containers, package
 from ..sources.ingest import archive_files, read_archive
 from ..sources.shutdown import parse_shutdown_log
+from ..scratch import temporary
 from ..store import CaseStore
 
 
@@ -61,23 +62,11 @@ def run_extract(spark: SparkSession, source: str, case_path: str, work: str | No
         return case.table(f"_{name}")
 
     try:
-        tables = read_archive(spark, root, keep, keep_raw)
-        case.write("source_files", tables["source_files"])
-        done("parse")
-        for name in ("anchors", "boots", "logs"):
-            case.write(name, tables[name])
-        done("resolve and order")
-        files = archive_files(spark, root, ids=False)
-        lines = files.filter("kind = 'shutdown'").select(F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("n", "value"))
-        if not lines.isEmpty():
-            for name, df in zip(("shutdown_events", "shutdown_clients"), parse_shutdown_log(lines)):
-                case.write(name, df)
-        after = files.select("rel_path", content_digest(F.col("content")).alias("sha256"))
-        changed = compare.custody(case.table("source_files"), after).filter("status <> 'matched'").count()
-        done("hash again")
+        with temporary(spark):
+            _store(spark, case, root, keep, keep_raw, done)
         b = summary.bounds(case.table("logs")).first()
         damaged = case.table("source_files").filter(F.size("damage") > 0).count()
-        case.set_status("complete", rows=b.total, first_ns=b.first_ns, last_ns=b.last_ns, changed_files=changed, damaged_files=damaged, seconds=seconds)
+        case.set_status("complete", rows=b.total, first_ns=b.first_ns, last_ns=b.last_ns, damaged_files=damaged, seconds=seconds)
     except BaseException:
         case.set_status("cancelled")
         raise
@@ -87,6 +76,25 @@ def run_extract(spark: SparkSession, source: str, case_path: str, work: str | No
     return ExtractResult(case_path, b.total, b.first_ns, b.last_ns, seconds)
 
 
+def _store(spark: SparkSession, case: CaseStore, root: str, keep, keep_raw: bool, done) -> None:
+    """All tables of an archive into a case, phase by phase."""
+    tables = read_archive(spark, root, keep, keep_raw)
+    case.write("source_files", tables["source_files"])
+    done("parse")
+    for name in ("anchors", "boots", "logs"):
+        case.write(name, tables[name])
+    done("resolve and order")
+    files = archive_files(spark, root, ids=False)
+    lines = files.filter("kind = 'shutdown'").select(F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("n", "value"))
+    if not lines.isEmpty():
+        for name, df in zip(("shutdown_events", "shutdown_clients"), parse_shutdown_log(lines)):
+            case.write(name, df)
+    after = files.select("rel_path", content_digest(F.col("content")).alias("sha256"))
+    changed = compare.custody(case.table("source_files"), after).filter("status <> 'matched'").count()
+    done("hash again")
+    case.set_status("running", changed_files=changed)
+
+
 def _work(spark: SparkSession, source: str, work: str | None, case_path: str) -> str:
     """Where a wrapped archive is unpacked to. Executors read from there, so on a cluster it has to be named and shared."""
     master = spark.sparkContext.master
@@ -112,10 +120,11 @@ def annotate_case(case: CaseStore, kb: KnowledgeBase, **which) -> int:
     """Appends annotations (a second run adds them again); returns how many."""
     have = case.table("kb_signatures")
     first = 1 + ((have.agg(F.max("kb_id")).first()[0] or 0) if have is not None else 0)
-    signatures, annotations, values = annotate(case.table("logs"), kb, datetime.now(timezone.utc).isoformat(), first, **which)
-    case.append("annotations", annotations)
-    case.append("extracted_values", values)
-    case.append("kb_signatures", signatures)
+    with temporary(case.spark):
+        signatures, annotations, values = annotate(case.table("logs"), kb, datetime.now(timezone.utc).isoformat(), first, **which)
+        case.append("annotations", annotations)
+        case.append("extracted_values", values)
+        case.append("kb_signatures", signatures)
     return case.table("annotations").filter(F.col("kb_id") >= first).count()
 
 

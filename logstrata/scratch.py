@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,17 @@ def drop_all(spark: SparkSession) -> None:
         _remove(spark, path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that were written within; for operations whose results are stored by then."""
+    before = set(_TABLES)
+    try:
+        yield
+    finally:
+        for path in [p for p in _TABLES if p not in before]:
+            _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
