@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, written
-from .shingles import WordHashes, ngrams, split_words
+from .shingles import ngrams, split_words, word_hashes
 from .workers import lean, values
 
 WINDOW = 13
 #: Words in the n-grams among which minimizers are chosen.
-GRAM = 4
+GRAM = 3
 #: Documents with one minimizer above which its windows travel one by one.
 CROWDED = 20_000
 #: Windows in a segment; a longer run of one minimizer, as in a text of one word, is several segments.
@@ -99,15 +99,8 @@ class SuffixAutomaton:
         return out
 
 
-class MarkedHashes(WordHashes):
-    """Word hashes whose lowest bit says whether the word is short."""
-
-    def __init__(self):
-        super().__init__(lambda word: xxhash.xxh3_64_intdigest(word) & ~1 | (len(word) < 4))
-
-
 def minimizers(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """The minimizer of each window. N-grams with fewer short words come first, as they are rarer."""
+    """The minimizer of each window. ``hashes`` say in their lowest bit whether a word is short; n-grams with fewer short words come first, as they are rarer."""
     h = ngrams(hashes, gram)
     short = hashes & np.uint64(1)
     few = short[: len(h)].copy()
@@ -123,20 +116,32 @@ def minimizers(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
     return least.view(np.int64)
 
 
-def _windows(text: str | None, known: MarkedHashes, window: int, gram: int):
-    words = split_words(text)
-    if len(words) < window:
-        return words, np.empty(0, np.int64)
-    return words, minimizers(known.of(words), window, gram)
+class Windows:
+    """The windows of a text: their minimizers, and the words from anywhere to anywhere, joined by one space."""
+
+    def __init__(self, text: str | None, window: int, gram: int):
+        self.raw = (text or "").encode()
+        hashes, self.starts, self.ends = word_hashes(self.raw)
+        short = (self.ends - self.starts < 4).astype(np.uint64)
+        self.least = minimizers(hashes & ~np.uint64(1) | short, window, gram) if len(hashes) >= window else np.empty(0, np.int64)
+
+    def mark_gaps(self) -> None:
+        """Where words are not one space apart, so that they can't be taken as they stand."""
+        gaps = self.ends[:-1]
+        wide = (self.starts[1:] - gaps != 1) | (np.frombuffer(self.raw, np.uint8)[gaps] != 32)
+        self.wide = np.concatenate(([0], np.cumsum(wide)))
+
+    def words(self, i: int, j: int) -> bytes:
+        part = self.raw[self.starts[i] : self.ends[j - 1]]
+        return part if self.wide[j - 1] == self.wide[i] else b" ".join(part.split())
 
 
 def _keys(window: int, gram: int):
     """Rows (doc, tag, text) to each row's distinct minimizers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = MarkedHashes()
         for batch in batches:
-            found = [np.unique(_windows(t, known, window, gram)[1]) for t in values(batch.column(2))]
+            found = [np.unique(Windows(t, window, gram).least) for t in values(batch.column(2))]
             sizes = [len(f) for f in found]
             for lo in range(0, len(found), 200):  # keeps the batches that go back of a size that the JVM takes lightly
                 part, n = found[lo : lo + 200], sizes[lo : lo + 200]
@@ -152,26 +157,26 @@ def _segments(window: int, gram: int):
     """Rows (doc, sum, text, minis, crowded) to the segments whose minimizer is among ``minis``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = MarkedHashes()
         for batch in batches:
             out: list[tuple] = []
             for doc, total, text, minis, crowded in zip(*(values(batch.column(k)) for k in range(5))):
-                words, least = _windows(text, known, window, gram)
+                found = Windows(text, window, gram)
+                least, alone = found.least, set(crowded)
                 if not len(least):
                     continue
-                alone = set(crowded)
+                found.mark_gaps()
                 starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
                 ends = np.r_[starts[1:], len(least)]
                 chosen = np.isin(least[starts], minis)
                 for start, end, mini in zip(starts[chosen].tolist(), ends[chosen].tolist(), least[starts[chosen]].tolist()):
                     if mini in alone:
                         for k in range(start, end):
-                            content = b" ".join(words[k : k + window])
+                            content = found.words(k, k + window)
                             out.append((xxhash.xxh3_64_intdigest(content) - 2**63, doc, total, k, 1, xxhash.xxh3_128_digest(content), content))
                     else:
                         for lo in range(start, end, LONGEST):
                             hi = min(end, lo + LONGEST)
-                            content = b" ".join(words[lo : hi + window - 1])
+                            content = found.words(lo, hi + window - 1)
                             out.append((mini, doc, total, lo, hi - lo, xxhash.xxh3_128_digest(content), content))
                 if len(out) > 5_000:
                     yield _batch(out)
@@ -263,7 +268,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
     keys = tagged.mapInArrow(_keys(window, gram), "mini long, doc long, tag int")
     shared = keys.groupBy("mini").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
     shared = written(shared.select("mini", (F.col("c") > crowded).alias("many")), "minimizers")
-    wanted = keys.join(shared, "mini").groupBy("doc", "tag").agg(F.collect_list("mini").alias("minis"), F.collect_list(F.when(F.col("many"), F.col("mini"))).alias("crowded"))
+    wanted = keys.join(shared.hint("shuffle_hash"), "mini").groupBy("doc", "tag").agg(F.collect_list("mini").alias("minis"), F.collect_list(F.when(F.col("many"), F.col("mini"))).alias("crowded"))
     wanted = written(wanted, "wanted")
     rows = base.select("doc", F.col("sum").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("tag"), "sum", "text").join(wanted, ["doc", "tag"])
     segments = written(rows.select("doc", "sum", "text", "minis", "crowded").mapInArrow(_segments(window, gram), _SEGMENT), "segments")

@@ -260,6 +260,31 @@ def test_units_between_blocks_count_no_pair_twice():
     assert [(k, counts[k]) for k in range(20)] == [(k, n) for k, _, _, n in sorted(brute_near([(k, t) for k, _, t in texts]))]
 
 
+def test_words_in_numpy_are_those_of_split(monkeypatch):
+    import random
+
+    from logstrata.llm import shingles
+
+    monkeypatch.setattr(shingles, "PIECE", 40)
+    rng, seen = random.Random(6), {}
+    bits = ["a", "bc", "é", " ", "  ", "\n", "\t\x0b", "\x1c", "\x85", "\xa0", "wörd", "x" * 50, "y" * 5000]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
+        raw = text.encode()
+        hashes, starts, ends = shingles.word_hashes(raw)
+        words = [raw[a:b] for a, b in zip(starts, ends)]
+        assert words == shingles.split_words(text) and len(hashes) == len(words)
+        for w, h in zip(words, hashes.tolist()):
+            assert seen.setdefault(w, h) == h
+        if len(words) >= 13:
+            found = substring_dedup.Windows(text, 13, 4)
+            found.mark_gaps()
+            i = rng.randint(0, len(words) - 1)
+            j = rng.randint(i + 1, len(words))
+            assert found.words(i, j) == b" ".join(words[i:j])
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_texts_of_one_word_take_bounded_segments(spark, monkeypatch):
     """A million equal words: no segment and no automaton as long as the text."""
     longest = []
@@ -269,7 +294,7 @@ def test_texts_of_one_word_take_bounded_segments(spark, monkeypatch):
     run = substring_dedup._segments(13, 4)
     import pyarrow as pa
 
-    least = substring_dedup._windows(text, substring_dedup.MarkedHashes(), 13, 4)[1]
+    least = substring_dedup.Windows(text, 13, 4).least
     given = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text]), pa.array([[int(least[0])]], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.int64()))], names=["doc", "sum", "text", "minis", "crowded"])
     made = [b for b in run(iter([given]))]
     assert max(longest) <= substring_dedup.LONGEST and sum(sum(b.column("n").to_pylist()) for b in made) == 1_000_000 - 12
