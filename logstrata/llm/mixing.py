@@ -118,6 +118,14 @@ def mix(
     return out.select("doc_id", "source", "size", "source_size", "target", "passes", "run_start", "run_words", (F.col("passes") * F.col("size") + F.col("run_words")).cast("long").alias("taken"))
 
 
+def _nth(rows: DataFrame, same: list[str], ties: list[str]) -> DataFrame:
+    """``rows`` with _nth: the place of each among those that are equal in ``same``, by ``ties``. Numbers come from sorted ranges, so a group may be of any size."""
+    at = written(numbered(rows, [*same, *ties], "_n", "mix-ranges"), "mix-places")
+    first = at.groupBy(*[F.col(c).alias(f"_{k}") for k, c in enumerate(same)]).agg(F.min("_n").alias("_from"))
+    out = at.join(first, [at[c].eqNullSafe(first[f"_{k}"]) for k, c in enumerate(same)])
+    return out.select(*rows.columns, (F.col("_n") - F.col("_from")).alias("_nth"))
+
+
 def taken_documents(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus itself, with the columns of ``docs``: a row for every pass over a
     document and one for the run of words taken once more.
@@ -127,14 +135,16 @@ def taken_documents(docs: DataFrame, **params) -> DataFrame:
     Rows without a word are not taken. Rows are told apart by doc_id, source and size;
     rows equal in all three are taken alike.
     """
-    picked = mix(docs, **params).filter("taken > 0")
-    picked = written(picked.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.struct("passes", "run_start", "run_words"))).alias("picks")), "mix-picked")
-    key, nth = docs.select("*", n_words(F.col("text")).alias("_size")), F.lit(1)
-    if not picked.filter(F.size("picks") > 1).isEmpty():  # only repeated rows have to be told apart, which moves the texts once more
-        nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
-    key, picked = key.withColumn("_nth", nth), small(picked)
-    on = key["doc_id"].eqNullSafe(picked["doc_id"]) & key["source"].eqNullSafe(picked["source"]) & (key["_size"] == picked["size"])
-    joined = key.join(picked, on).select(*[key[c] for c in key.columns], F.col("picks")[F.col("_nth") - 1].alias("_p"))
+    same = ["doc_id", "source", "_size"]
+    picked = mix(docs, **params).filter("taken > 0").select("doc_id", "source", F.col("size").alias("_size"), "passes", "run_start", "run_words")
+    picked, rows = written(picked, "mix-picked"), docs.select("*", n_words(F.col("text")).alias("_size"))
+    if picked.groupBy(*same).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        picked, rows = picked.withColumn("_nth", F.lit(0)), rows.withColumn("_nth", F.lit(0))
+    else:  # only repeated rows have to be told apart, which moves the texts once more
+        picked, rows = written(_nth(picked, same, ["passes", "run_start", "run_words"]), "mix-nth"), _nth(rows, same, ["text"])
+    near = small(picked)
+    on = [rows[c].eqNullSafe(near[c]) for c in same] + [rows["_nth"] == near["_nth"]]
+    joined = rows.join(near, on).select(*[rows[c] for c in rows.columns], F.struct(*[near[c] for c in ("passes", "run_start", "run_words")]).alias("_p"))
     whole = joined.select("*", F.explode(F.sequence(F.lit(0), F.col("_p.passes"))).alias("_i"))
     run = F.when(F.col("_p.run_words") == F.col("_size"), F.col("text")).otherwise(
         F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")), (F.col("_p.run_start") + 1).cast("int"), F.col("_p.run_words").cast("int")), " ")
