@@ -38,8 +38,8 @@ from .workers import lean, values
 WINDOW = 13
 #: Words in the n-grams among which minimizers are chosen.
 GRAM = 3
-#: Documents with one minimizer above which its windows travel one by one.
-CROWDED = 20_000
+#: Documents with one minimizer above which its windows travel one by one. It bounds what one automaton holds, to some 80,000 words (30 MB).
+CROWDED = 4_000
 #: Windows in a segment; a longer run of one minimizer, as in a text of one word, is several segments.
 LONGEST = 512
 
