@@ -17,8 +17,8 @@ what has to be compared comes to them:
    a repeat; then it is added.
 4. Spans go back to their documents, where maximal ones are removed.
 
-A minimizer with very many segments would make one large shard. Its windows are
-sent one by one instead, by a hash of the whole window.
+A minimizer in very many documents, or whose segments hold very many words, would make
+one large shard. Its windows are sent one by one instead, by a hash of the whole window.
 """
 
 from __future__ import annotations
@@ -38,10 +38,14 @@ from .workers import lean, values
 WINDOW = 13
 #: Words in the n-grams among which minimizers are chosen.
 GRAM = 3
-#: Documents with one minimizer above which its windows travel one by one. It bounds what one automaton holds, to some 80,000 words (30 MB).
+#: Documents with one minimizer above which its windows travel one by one.
 CROWDED = 4_000
+#: Words in the segments of one minimizer above which its windows do, too. It bounds what one automaton holds (61 MB at 381 bytes a word).
+HEAVY = 160_000
 #: Windows in a segment; a longer run of one minimizer, as in a text of one word, is several segments.
 LONGEST = 512
+#: Rows and bytes of content after which a batch of segments goes out; a long document gives several.
+ROWS, BYTES = 5_000, 8_000_000
 
 _LAST = 2**63 - 1
 
@@ -136,18 +140,38 @@ class Windows:
         return part if self.wide[j - 1] == self.wide[i] else b" ".join(part.split())
 
 
+def _runs(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of one minimizer start and end; there is one window at least."""
+    starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return starts, np.r_[starts[1:], len(least)]
+
+
+def _held(least: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct minimizers, and the words that the segments of each hold."""
+    if not len(least):
+        return least, np.empty(0, np.int64)
+    starts, ends = _runs(least)
+    sizes = ends - starts
+    sizes = sizes + (window - 1) * -(-sizes // LONGEST)
+    order = np.argsort(least[starts])
+    minis = least[starts][order]
+    first = np.flatnonzero(np.r_[True, minis[1:] != minis[:-1]])
+    return minis[first], np.add.reduceat(sizes[order], first)
+
+
 def _keys(window: int, gram: int):
-    """Rows (doc, tag, text) to each row's distinct minimizers."""
+    """Rows (doc, tag, text) to each row's distinct minimizers and the words that travel with each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(Windows(t, window, gram).least) for t in values(batch.column(2))]
+            found, words = zip(*(_held(Windows(t, window, gram).least, window) for t in values(batch.column(2)))) if len(batch) else ((), ())
             sizes = [len(f) for f in found]
             for lo in range(0, len(found), 200):  # keeps the batches that go back of a size that the JVM takes lightly
                 part, n = found[lo : lo + 200], sizes[lo : lo + 200]
+                doc, tag = (np.repeat(batch.column(k).slice(lo, 200).to_numpy(False), n) for k in range(2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(part), pa.int64()), pa.array(np.repeat(batch.column(0).slice(lo, 200).to_numpy(False), n), pa.int64()), pa.array(np.repeat(batch.column(1).slice(lo, 200).to_numpy(False), n), pa.int32())],
-                    names=["mini", "doc", "tag"],
+                    [pa.array(np.concatenate(part), pa.int64()), pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(np.concatenate(words[lo : lo + 200]), pa.int64())],
+                    names=["mini", "doc", "tag", "words"],
                 )
 
     return lean(run)
@@ -156,31 +180,36 @@ def _keys(window: int, gram: int):
 def _segments(window: int, gram: int):
     """Rows (doc, sum, text, minis, crowded) to the segments whose minimizer is among ``minis``."""
 
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for doc, total, text, minis, crowded in zip(*(values(batch.column(k)) for k in range(5))):
+            found = Windows(text, window, gram)
+            least, alone = found.least, set(crowded)
+            if not len(least):
+                continue
+            found.mark_gaps()
+            starts, ends = _runs(least)
+            chosen = np.isin(least[starts], minis)
+            for start, end, mini in zip(starts[chosen].tolist(), ends[chosen].tolist(), least[starts[chosen]].tolist()):
+                if mini in alone:
+                    for k in range(start, end):
+                        content = found.words(k, k + window)
+                        yield xxhash.xxh3_64_intdigest(content) - 2**63, doc, total, k, 1, xxhash.xxh3_128_digest(content), content
+                else:
+                    for lo in range(start, end, LONGEST):
+                        hi = min(end, lo + LONGEST)
+                        content = found.words(lo, hi + window - 1)
+                        yield mini, doc, total, lo, hi - lo, xxhash.xxh3_128_digest(content), content
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, total, text, minis, crowded in zip(*(values(batch.column(k)) for k in range(5))):
-                found = Windows(text, window, gram)
-                least, alone = found.least, set(crowded)
-                if not len(least):
-                    continue
-                found.mark_gaps()
-                starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-                ends = np.r_[starts[1:], len(least)]
-                chosen = np.isin(least[starts], minis)
-                for start, end, mini in zip(starts[chosen].tolist(), ends[chosen].tolist(), least[starts[chosen]].tolist()):
-                    if mini in alone:
-                        for k in range(start, end):
-                            content = found.words(k, k + window)
-                            out.append((xxhash.xxh3_64_intdigest(content) - 2**63, doc, total, k, 1, xxhash.xxh3_128_digest(content), content))
-                    else:
-                        for lo in range(start, end, LONGEST):
-                            hi = min(end, lo + LONGEST)
-                            content = found.words(lo, hi + window - 1)
-                            out.append((mini, doc, total, lo, hi - lo, xxhash.xxh3_128_digest(content), content))
-                if len(out) > 5_000:
+            held = 0
+            for row in rows(batch):
+                out.append(row)
+                held += len(row[-1])
+                if len(out) >= ROWS or held >= BYTES:
                     yield _batch(out)
-                    out = []
+                    out, held = [], 0
             if out:
                 yield _batch(out)
 
@@ -252,7 +281,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, kinds)], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED, heavy: int = HEAVY) -> DataFrame:
     """Every row of ``docs`` without the words of windows that start in a document with a smaller doc_id.
 
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space).
@@ -265,9 +294,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).withColumn("sum", F.xxhash64("text"))
     tagged = base.select("doc", F.col("sum").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("tag"), "text")
-    keys = tagged.mapInArrow(_keys(window, gram), "mini long, doc long, tag int")
-    shared = keys.groupBy("mini").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-    shared = written(shared.select("mini", (F.col("c") > crowded).alias("many")), "minimizers")
+    keys = tagged.mapInArrow(_keys(window, gram), "mini long, doc long, tag int, words long")
+    shared = keys.groupBy("mini").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("c"), F.sum("words").alias("words")).filter("lo < hi")
+    shared = written(shared.select("mini", ((F.col("c") > crowded) | (F.col("words") > heavy)).alias("many")), "minimizers")
     wanted = keys.join(shared.hint("shuffle_hash"), "mini").groupBy("doc", "tag").agg(F.collect_list("mini").alias("minis"), F.collect_list(F.when(F.col("many"), F.col("mini"))).alias("crowded"))
     wanted = written(wanted, "wanted")
     rows = base.select("doc", F.col("sum").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("tag"), "sum", "text").join(wanted, ["doc", "tag"])

@@ -1,6 +1,9 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
+from pyspark.sql import functions as F
 from samples import corpus, make
 
 from logstrata.llm import exact_dedup, near_dedup, substring_dedup
@@ -300,3 +303,41 @@ def test_texts_of_one_word_take_bounded_segments(spark, monkeypatch):
     assert max(longest) <= substring_dedup.LONGEST and sum(sum(b.column("n").to_pylist()) for b in made) == 1_000_000 - 12
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(make(spark, [text, "x " + text, "same " * 12, "same " * 20])).collect()}
     assert got == {0: (1_000_000, 0), 1: (1_000_001, 1_000_000), 2: (12, 0), 3: (20, 20)}
+
+
+def test_segments_of_a_long_document_come_in_batches():
+    """A worker holds a bounded part of a document's segments, however long the document and its words are."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    for text, most in ((" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(40_000)), 40_000), (" ".join(f"{i}" * 4_000 for i in range(1_000)), 1_000)):
+        minis = np.unique(substring_dedup.Windows(text, 13, 3).least).tolist()
+        longs = pa.list_(pa.int64())
+        given = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text]), pa.array([minis], longs), pa.array([minis], longs)], names=["doc", "sum", "text", "minis", "crowded"])
+        made = list(substring_dedup._segments(13, 3)(iter([given])))
+        assert [k for b in made for k in b.column("start").to_pylist()] == list(range(most - 12))
+        assert max(b.num_rows for b in made) <= 5_000 and max(b.nbytes for b in made) < 10_000_000
+
+
+def test_a_minimizer_of_few_long_documents_is_no_large_automaton(spark, monkeypatch):
+    """All windows of three documents have one minimizer; no key holds more words than are allowed in an automaton, and spans stay right."""
+    rng = random.Random(4)
+
+    def text(n):
+        return " ".join("alpha bravo gamma " + " ".join(rng.choice("abcdefgh") + rng.choice("ijklmnop") for _ in range(8)) for _ in range(n))
+
+    texts = [text(6_000), text(6_000), text(3_000)]
+    texts[2] += " " + " ".join(texts[0].split()[500:700])
+    held = []
+    written = substring_dedup.written
+
+    def noted(df, label):
+        out = written(df, label)
+        if label == "segments":
+            held.extend(r.words for r in out.groupBy("key").agg((F.sum("n") + 12 * F.count("*")).alias("words")).collect())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "written", noted)
+    got = sorted((tuple(r) for r in substring_dedup.substring_dedup(make(spark, texts)).collect()), key=key)
+    assert got == sorted(brute_substring(list(enumerate(texts)), 13), key=key) and got[2][2] >= 200
+    assert max(held) <= 160_000
