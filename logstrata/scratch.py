@@ -16,6 +16,16 @@ BROADCAST_ROWS = 500_000
 _LOCAL: dict[str, str] = {}
 _TABLES: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Without its native library, Hadoop starts a `chmod` for each file and folder that it makes on a local file system, and such a child shares
+#: the JVM's memory until it is replaced. So tables have no checksum files and no marks of success; their pages carry checksums instead.
+_WRITING = {
+    "compression": "zstd",
+    "parquet.page.write-checksum.enabled": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+_READING = {"parquet.page.verify-checksum.enabled": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,10 +56,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     _TABLES.append(path)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**_WRITING).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).options(**_READING).parquet(path)
     out._table_path = path
     return out
 
