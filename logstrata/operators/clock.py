@@ -46,10 +46,11 @@ def range_join(left: DataFrame, right: DataFrame, equal: list[str], point: Colum
     cells = b.withColumn("_cell", F.explode(_cells(F.col("_lo"), F.col("_hi")))).select("_r", *[f"_k{i}" for i in range(len(equal))], "_cell.level", "_cell.cell")
     levels = [r[0] for r in cells.select("level").distinct().collect()]  # at most 63
     looked = a.select("_id", *[f"_k{i}" for i in range(len(equal))], F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("_p", n).alias("cell")) for n in levels])).alias("_cell") if levels else F.lit(None).alias("_cell"))
-    met = looked.select("_id", *[f"_k{i}" for i in range(len(equal))], "_cell.level", "_cell.cell").join(cells, [*[f"_k{i}" for i in range(len(equal))], "level", "cell"]).select("_id", "_r") if levels else None
+    # both joins sort and spill: Spark sizes a side by its compressed files, before it is exploded, and would broadcast millions of rows
+    met = looked.select("_id", *[f"_k{i}" for i in range(len(equal))], "_cell.level", "_cell.cell").join(cells.hint("merge"), [*[f"_k{i}" for i in range(len(equal))], "level", "cell"]).select("_id", "_r") if levels else None
     if met is None:
         return left.join(right, F.lit(False), how)
-    out = a.select("_id", "_l").join(met, "_id", how)
+    out = a.select("_id", "_l").join(met.hint("merge"), "_id", how)
     return out.select(*[F.col(f"_l.{c}") for c in left.columns], *[F.col(f"_r.{c}") for c in right.columns]).toDF(*names)
 
 

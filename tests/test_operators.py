@@ -311,6 +311,17 @@ def test_ranges_in_cells_are_those_of_a_loop(spark):
                 assert len(got) == len(set(got)) and set(got) == want, (equal, closed, how, few)
 
 
+def test_many_ranges_are_never_broadcast(spark):
+    left, right = spark.range(2000).select("id", F.lit("g").alias("g"), (F.col("id") * 5).alias("x")), spark.range(900).select(F.lit("g").alias("g"), (F.col("id") * 9).alias("lo"), (F.col("id") * 9 + F.col("id") % 60).alias("hi"))
+    for equal in ([], ["g"]):
+        for how, rows in (("left", {(k, None) for k in range(2000)}), ("inner", set())):
+            out = clock.range_join(left, right, equal, F.col("x"), F.col("lo"), F.col("hi"), how=how, few=0)
+            met = {(k, r * 9) for k in range(2000) for r in range(max(0, k * 5 // 9 - 7), min(900, k * 5 // 9 + 1)) if r * 9 <= k * 5 < r * 9 + r % 60}
+            assert {(r[0], r[4]) for r in out.collect()} == met | {x for x in rows if x[0] not in {k for k, _ in met}}
+            plan = out._jdf.queryExecution().executedPlan().toString()  # the final one, after its run
+            assert "Broadcast" not in plan and "SortMergeJoin" in plan, (equal, how)
+
+
 def test_digests_do_not_hang_on_how_rows_are_dealt(spark):
     rows = [(k, f"v{k % 7}") for k in range(500)]
     one, two = spark.createDataFrame(rows, "k long, v string").coalesce(1), spark.createDataFrame(rows[::-1], "k long, v string").repartition(7)
